@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ogg, packing, sstable, transducer
+from . import fingerprint, langid, ogg, packing, quality, sstable, transducer
 
 #: Folder with the public vocabulary files.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -21,6 +21,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(documents(spark, sf_dir))
+
+
 def op2_sstable_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.token_table(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 
@@ -29,6 +33,14 @@ def op3_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transducer.encode_decode(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
 
 
+def op5_hyperdimensional_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.report(documents(spark, sf_dir))
+
+
+def op6_quadratic_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
 
@@ -38,7 +50,7 @@ def op10_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sstable_shards, op3_bpe_transducer, op8_best_fit_packing, op10_ogg_media)}
+    return {f.__name__: f for f in (op1_scaled_sketch, op2_sstable_shards, op3_bpe_transducer, op5_hyperdimensional_langid, op6_quadratic_quality, op8_best_fit_packing, op10_ogg_media)}
 
 
 def oracle_sql() -> dict[str, str]:
