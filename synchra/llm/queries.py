@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, langid, ogg, packing, quality, sstable, transducer
+from . import fingerprint, jaccard, langid, ogg, packing, quality, sstable, transducer
 
 #: Folder with the public vocabulary files.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -41,6 +41,10 @@ def op6_quadratic_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op7_lsh_forest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(documents(spark, sf_dir))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
 
@@ -50,7 +54,7 @@ def op10_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_scaled_sketch, op2_sstable_shards, op3_bpe_transducer, op5_hyperdimensional_langid, op6_quadratic_quality, op8_best_fit_packing, op10_ogg_media)}
+    return {f.__name__: f for f in (op1_scaled_sketch, op2_sstable_shards, op3_bpe_transducer, op5_hyperdimensional_langid, op6_quadratic_quality, op7_lsh_forest_join, op8_best_fit_packing, op10_ogg_media)}
 
 
 def oracle_sql() -> dict[str, str]:
