@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, jaccard, langid, ogg, packing, quality, sstable, transducer
+from . import fingerprint, jaccard, langid, ogg, packing, quality, sstable, substring_dedup, transducer
 
 #: Folder with the public vocabulary files.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -49,12 +49,16 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(documents(spark, sf_dir))
+
+
 def op10_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.media_report(ogg.with_media(documents(spark, sf_dir)))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_scaled_sketch, op2_sstable_shards, op3_bpe_transducer, op5_hyperdimensional_langid, op6_quadratic_quality, op7_lsh_forest_join, op8_best_fit_packing, op10_ogg_media)}
+    return {f.__name__: f for f in (op1_scaled_sketch, op2_sstable_shards, op3_bpe_transducer, op5_hyperdimensional_langid, op6_quadratic_quality, op7_lsh_forest_join, op8_best_fit_packing, op9_suffix_array_dedup, op10_ogg_media)}
 
 
 def oracle_sql() -> dict[str, str]:
