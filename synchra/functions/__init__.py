@@ -1 +1 @@
-
+"""Functions of matrices, vectors and names."""

@@ -1 +1 @@
-
+"""Operators on series, connectivity, states and their comparison."""

@@ -1 +1 @@
-
+"""Measures, grids and registered queries."""
