@@ -104,6 +104,11 @@ def segment(matrix: DataFrame, nodes: DataFrame) -> DataFrame:
     return matrix.join(i, "i").join(j, "j").groupBy(*keys, "net_i", "net_j").agg(F.avg("v").alias("v"))
 
 
+def file_name(title: Column) -> Column:
+    """A title as a file name."""
+    return F.regexp_replace(title, " ", "_")
+
+
 def short_name(name: Column) -> Column:
     """Short method name of a long one (the last match counts); null if none matches."""
     out = F.lit(None).cast("string")

@@ -50,10 +50,10 @@ def sliding_pearson(series: DataFrame, width: int, step: int, n_time: int, keys:
     beyond the window.
     """
     if tapered and full_support:
-        c, w = (width - 1) // 2, windows.full_taper(width, std)
-        w = [*w, 0.0]
-        at = windows.explode_windows(series, width, step, n_time, before=width // 2, after=width // 2 - 1)
-        at = at.withColumn("x", F.col("x") * F.coalesce(F.try_element_at(F.array(*map(F.lit, w)), (F.col("tr") - F.col("l") + 1 + c).cast("int")), F.lit(0.0)))
+        weights = F.array(*map(F.lit, windows.full_taper(width, std)))
+        at = windows.explode_windows(series, width, step, n_time, before=width // 2, after=width // 2)
+        w = F.get(weights, (F.col("tr") - F.col("l") + (width - 1) // 2).cast("int"))
+        at = at.withColumn("x", F.col("x") * F.coalesce(w, F.lit(0.0)))
     else:
         at = windows.explode_windows(series, width, step, n_time)
         if tapered:

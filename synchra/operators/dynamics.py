@@ -72,6 +72,25 @@ def _inter(fc: DataFrame, unit: str, shared: list[str]) -> DataFrame:
     return out.select("subj", "measure", F.lit("all").alias("sample"), F.concat_ws("~", "a", "b").alias("place"), "v")
 
 
+def graph_features(fc: DataFrame, name: str, temporal: bool = False) -> DataFrame:
+    """A graph property as a feature: samples are times and places nodes, or one sample whose places are times (mean over nodes)."""
+    from synchra.functions.matrix import graph_property
+
+    g = graph_property(fc, name, groups=("subj", "measure", "tr"))
+    t = F.col("tr").cast("string")
+    if not temporal:
+        return g.select("subj", "measure", t.alias("sample"), F.col("at").cast("string").alias("place"), F.col("value").alias("v"))
+    return g.groupBy("subj", "measure", "tr").agg(F.avg("value").alias("v")).select("subj", "measure", F.lit("all").alias("sample"), t.alias("place"), "v")
+
+
+def windowed(fc: DataFrame, width: int, step: int, n_time: int, tapered: bool = False) -> DataFrame:
+    """Sliding-window mean of connectivity series, for methods that aren't windowed themselves."""
+    from synchra.operators.windows import downsample
+
+    out = downsample(fc, ("subj", "measure", "i", "j"), width, step, n_time, tapered, "v")
+    return out.select("subj", "measure", F.col("tr_mid").alias("tr"), "i", "j", "v")
+
+
 def method_pairs(feature: DataFrame) -> DataFrame:
     """``subj, sample, place, m1, m2, x, y``: measures side by side, place by place (one shuffle; few measures per place)."""
     keys = ["subj", "sample", "place"]
@@ -108,6 +127,7 @@ def assess(fc: DataFrame, states: DataFrame | None = None, all_states: DataFrame
     fc = fc.join(common_samples(fc), ["subj", "tr"], "left_semi")
     out = {f"all_{m}": similarity(features(fc, "all"), m) for m in ("corr", "spearman", "MI", "euclidean_distance")}
     out |= {f"{k}_spearman": similarity(features(fc, k), "spearman") for k in ("spatial", "temporal", "inter_time", "inter_conn", "avg", "var")}
+    out |= {f"graph_{'temporal' if t else 'spatial'}_{p}": similarity(graph_features(fc, p, t), "spearman") for p in ("ECM", "shortest_path", "degree", "clustering_coef") for t in (False, True)}
     if states is not None:
         out |= {"transitions": transitions(states), "dwell_times": dwell_times(states)}
         if all_states is not None:

@@ -78,6 +78,13 @@ def select_nodes(series: DataFrame, nodes: list[int] | None = None) -> DataFrame
     return series.join(F.broadcast(pairs), "node").withColumn("node", F.col("at")).drop("at")
 
 
+def in_networks(series: DataFrame, nodes: DataFrame, networks: list[str]) -> DataFrame:
+    """Rows of nodes (``node, label``) of the given networks: a semi-join with the node dimension."""
+    from synchra.functions.matrix import network_of
+
+    return series.join(nodes.where(network_of(F.col("label")).isin(*networks)).select("node"), "node", "left_semi")
+
+
 def downsampled_nodes(n_regions: int, n_select: int, seed: int | None = None) -> list[int]:
     """A regular stride (which may give fewer than asked for) or a seeded choice."""
     if n_select >= n_regions:

@@ -70,6 +70,23 @@ def stride(grid: DataFrame, tr_fine: float, tr_coarse: float) -> DataFrame:
     return grid.where(F.pmod(F.col("g"), F.lit(int(tr_coarse / tr_fine))) == 0)
 
 
+def resampled(grid: DataFrame, tr_fine: float, tr_coarse: float, value: str = "x", keys: tuple[str, ...] = ("subj",)) -> DataFrame:
+    """A signal on the coarse grid by cutting its spectrum (``keys, g, value``), one signal per kernel call."""
+    import pandas as pd
+
+    from synchra.operators.series import fft_resample
+
+    kinds = dict(grid.dtypes)
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("g")
+        y = fft_resample(part[[value]].to_numpy(float), int(len(part) * tr_fine / tr_coarse))[:, 0]
+        return pd.DataFrame({**{k: part[k].iloc[0] for k in keys}, "g": np.arange(len(y)), value: y})
+
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "g long", f"{value} double"])
+    return grid.select(*keys, "g", value).groupBy(*keys).applyInPandas(run, schema)
+
+
 def presence(grid: DataFrame, response: list[float], every: int, binary: bool = True, keys: tuple[str, ...] = ("subj",)) -> DataFrame:
     """``keys, tr, x``: any task, convolved, above its mean (or as it is), every so many points."""
     any_task = grid.select(*keys, "g", (F.col("label") > 0).cast("double").alias("x"))

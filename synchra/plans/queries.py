@@ -239,6 +239,14 @@ def q_sw_pearson_tapered(spark, d):
     return tapered(spark, d)
 
 
+_FULL = wi.full_taper(W)
+
+
+@query(f"WITH {TS}, w AS (SELECT CAST(l.i*10 AS BIGINT) AS l, subj, tr, node, x * coalesce({_FULL!r}[tr - l.i*10 + {(W - 1) // 2 + 1}], 0.0) AS x FROM ts, range(11) l(i) WHERE tr >= l.i*10 - 10 AND tr < l.i*10 + 30), p AS (SELECT a.subj, a.l, a.node AS i, b.node AS j, a.x, b.x AS y FROM w a JOIN w b ON a.subj=b.subj AND a.l=b.l AND a.tr=b.tr AND a.node<b.node) SELECT subj, l+10 AS tr, i, j, {r6(pearson(), 'v')} FROM p GROUP BY subj, l, i, j")
+def q_sw_pearson_full_taper(spark, d):
+    return cn.sliding_pearson(ts(spark, d), W, STEP, N, tapered=True, full_support=True)
+
+
 @query(f"WITH {WIN}, {PAIRS}, {MI} SELECT subj, l+10 AS tr, i, j, {r6('v', 'v')} FROM mi")
 def q_sw_mi(spark, d):
     return mi(spark, d)
@@ -254,9 +262,6 @@ def q_sw_downsample(spark, d):
     return wi.downsample(ts(spark, d), ("subj", "node"), W, STEP, N)
 
 
-_FULL = wi.full_taper(W)
-
-
 @query(f"WITH {TS}, w AS (SELECT l.i*10 AS l, subj, node, x, {_FULL!r}[tr - l.i*10 + {(W - 1) // 2 + 1}] AS w FROM ts, range(11) l(i) WHERE tr - l.i*10 BETWEEN {-((W - 1) // 2)} AND {len(_FULL) - 1 - (W - 1) // 2}) SELECT subj, node, CAST(l AS BIGINT) AS l, CAST(l+10 AS BIGINT) AS tr_mid, {r6('sum(w*x)/sum(w)', 'x')} FROM w GROUP BY subj, node, l")
 def q_sw_downsample_tapered(spark, d):
     return wi.downsample(ts(spark, d), ("subj", "node"), W, STEP, N, tapered=True)
@@ -447,6 +452,22 @@ def q_graph_clustering_coef(spark, d):
     return mx.graph_property(em_graph(spark, d), "clustering_coef")
 
 
+@query()
+def q_graph_feature_similarity(spark, d):
+    return dy.similarity(dy.graph_features(_exact(two(spark, d)), "degree"), "spearman")
+
+
+@query(f"WITH {STATES}, f AS (SELECT subj, tr, i, j, v / 1e4 AS v FROM states JOIN sfc USING (state)) SELECT subj, 'cap' AS measure, CAST(l.w*10+10 AS BIGINT) AS tr, i, j, {r6('avg(v)', 'v')} FROM f JOIN range(11) l(w) ON tr >= l.w*10 AND tr < l.w*10+20 GROUP BY ALL")
+def q_dfc_windowed(spark, d):
+    fc = st.lookup(decoded(spark, d), state_fc(spark, d)).withColumn("v", F.col("v") / 1e4).withColumn("measure", F.lit("cap"))
+    return dy.windowed(fc, W, STEP, N)
+
+
+@query(f"WITH {TS}, {NODES} SELECT subj, tr, node, {r6('x', 'x')} FROM ts WHERE node IN (SELECT node FROM nodes WHERE split_part(label, '_', 2) IN ('Vis', 'Default'))")
+def q_ts_in_networks(spark, d):
+    return se.in_networks(ts(spark, d), tb.nodes(spark, 5), ["Vis", "Default"])
+
+
 # dynamics
 
 
