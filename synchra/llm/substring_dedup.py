@@ -8,10 +8,11 @@ A byte goes if a string of ``LENGTH`` bytes over it also starts in a document of
    that two documents have come back.
 3. Chunks send, for those anchors, the strings made of successive windows of one anchor: each
    distinct string once, with its least document.  Equal windows meet in the anchor's bucket.
-4. A bucket keeps each distinct string once.  An anchor with several strings has them joined to a
-   text whose suffix array (linear grouping) brings equal windows together: runs of neighbours that
-   share ``LENGTH`` bytes get the least document of any.  An anchor with a single string has no
-   other order to find: all its windows have that string's least document.
+4. A bucket keeps each distinct string once.  An anchor's strings are joined to a text whose suffix
+   array (linear grouping) brings equal windows together: runs of neighbours that share ``LENGTH``
+   bytes get the least document of any.  A string none of whose windows can occur in another one
+   (it is its anchor's only string, or has no window hash in common) has no order to find: all its
+   windows have that string's least document.
 5. Chunks get back the least document of each window and cut their texts.
 
 A copy that stands in many documents of a chunk leaves the chunk once, so no task sees all
@@ -45,15 +46,19 @@ NULL_KEY = -(1 << 63)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _gram_hashes(data: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the ``GRAM`` (20 = 16 + 4) bytes at each place."""
+def _hashes(data: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit hash of the ``size`` bytes at each place, put together from powers of two."""
+    n = len(data) - size + 1
+    out, done = np.zeros(n, np.uint64), 0
     with np.errstate(over="ignore"):
-        h, power, parts = data.astype(np.uint64) + np.uint64(1), _BASE, {}
-        for size in (2, 4, 8, 16):
-            h = h[: -(size // 2)] * power + h[size // 2 :]
-            power = power * power
-            parts[size] = h
-        return mix64(parts[16][: len(data) - GRAM + 1] * np.uint64(pow(int(_BASE), 4, 1 << 64)) + parts[4][16 : len(data) - 3])
+        h, power, width = data.astype(np.uint64) + np.uint64(1), _BASE, 1
+        while width <= size:
+            if size & width:  # lowest parts come last in the string
+                done += width
+                out += h[size - done : size - done + n] * np.uint64(pow(int(_BASE), done - width, 1 << 64))
+            h = h[:-width] * power + h[width:]
+            power, width = power * power, 2 * width
+    return mix64(out)
 
 
 def strings_of(data: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -65,7 +70,7 @@ def strings_of(data: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarra
     for a in range(0, last + 1, STEP):
         b = min(a + STEP, last + 1)
         part = data[a : b + LENGTH - 1]
-        h = _gram_hashes(part)
+        h = _hashes(part, GRAM)
         key = h & np.uint64(0xFFFFFFFFFFE00000) | np.arange(len(h), dtype=np.uint64)
         span, reach = LENGTH - GRAM + 1, 1
         low = key
@@ -87,7 +92,8 @@ def strings_of(data: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarra
         # A run ends with its anchor, its document, or the last window that fits.
         marks = np.flatnonzero(np.concatenate([new | ~fits, [True]]))
         ends = marks[np.searchsorted(marks, heads, "right")]
-        yield heads + a, ends - heads, h[anchor[heads]], doc[heads]
+        # Anchors have small hashes by choice; mixed again, they spread evenly over buckets.
+        yield heads + a, ends - heads, mix64(h[anchor[heads]] ^ _BASE), doc[heads]
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -213,7 +219,10 @@ def _shared_anchors(anchors: DataFrame, buckets: int) -> DataFrame:
             shared[1:] |= same
             shared = np.unique(value[shared])
             for r, part in zip(rows, parts, strict=True):
-                mine = np.intersect1d(part >> np.uint64(1), shared)
+                mine = part >> np.uint64(1)
+                spot = np.searchsorted(shared, mine)
+                spot[spot == len(shared)] = 0
+                mine = mine[shared[spot] == mine] if len(shared) else shared
                 if len(mine):
                     yield batch(schema, [r["chunk"]], [_pack(mine)])
 
@@ -258,6 +267,22 @@ def _send_strings(shared: DataFrame, chunks: int, buckets: int) -> DataFrame:
     return kernel(shared.repartition(chunks, "chunk").sortWithinPartitions("chunk"), run, "chunk string, bucket int, strings binary")
 
 
+def _sharing(strings: list[bytes]) -> np.ndarray:
+    """Which strings may share a window with another one: those with a window hash that another has."""
+    sizes = np.array([len(s) for s in strings])
+    ends = np.cumsum(sizes)
+    window = _hashes(np.frombuffer(b"".join(strings), np.uint8), LENGTH)
+    owner = np.repeat(np.arange(len(strings)), sizes)[: len(window)]
+    inside = np.arange(len(window)) + LENGTH <= ends[owner]
+    window, owner = window[inside], owner[inside]
+    order = np.lexsort((owner, window))
+    window, owner = window[order], owner[order]
+    same = (window[1:] == window[:-1]) & (owner[1:] != owner[:-1])
+    out = np.zeros(len(strings), bool)
+    out[owner[1:][same]] = out[owner[:-1][same]] = True
+    return out
+
+
 def least_documents(strings: list[bytes], least: list[int]) -> list[list[tuple[int, int]]]:
     """For each string, runs (number of windows, least document with such a window), by one suffix array."""
     symbols = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8).astype(np.int64) + 1
@@ -317,10 +342,12 @@ def _answer(sent: DataFrame, buckets: int) -> DataFrame:
                         least[x] = low
                     mine.append((x, k, high))
                 asked.append(mine)
+            several = [x for group in anchors.values() if len(group) > 1 for x in group]
+            may = set(np.array(several)[_sharing([strings[x] for x in several])].tolist()) if several else set()
             runs: dict[int, list[tuple[int, int]]] = {}
             text: list[int] = []
             size = 0
-            for group in [*anchors.values(), None]:
+            for group in [*([x for x in group if x in may] for group in anchors.values() if len(group) > 1), None]:
                 if group is None or size > ARRAY:
                     if text:
                         runs |= zip(text, least_documents([strings[x] for x in text], [least[x] for x in text]), strict=True)

@@ -22,65 +22,84 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
     n = len(symbols)
     if n == 0:
         return np.zeros(0, np.int64)
-    values = symbols.tolist()
-    alphabet = sorted(set(values))
-    number = {v: k for k, v in enumerate(alphabet)}
-    group = [number[v] for v in values]
-    members: list[list[int]] = [[] for _ in alphabet]
-    for i, g in enumerate(group):
-        members[g].append(i)
+    alphabet, first = np.unique(symbols, return_inverse=True)
+    group = first.tolist()
+    by_symbol = np.argsort(first, kind="stable")
+    members: list[list[int]] = [part.tolist() for part in np.split(by_symbol, np.cumsum(np.bincount(first))[:-1])]
+    live = [len(m) for m in members]  # members that haven't risen
     length = [1] * len(alphabet)
     below = list(range(-1, len(alphabet) - 1))  # the next lower and next higher group
     above = list(range(1, len(alphabet) + 1))
     ends = [0] * n  # where the Lyndon prefix of each suffix ends
     left = list(range(-1, n))  # left[i + 1]: i, or a place nearer to the nearest one that hasn't been taken
     order: list[int] = []  # groups as taken
-    last = (-1, -1)  # the last group split and what was put above it
     g = len(alphabet) - 1
     while g >= 0:
+        if not live[g]:
+            members[g] = []
+            g = below[g]
+            continue
         size = length[g]
-        own = [i for i in members[g] if group[i] == g]
-        members[g] = own
-        if own:
-            order.append(g)
-            for i in own:
-                left[i + 1] = i - 1
-                ends[i] = i + size
+        own = members[g]
+        if live[g] < len(own):
+            own = members[g] = [i for i in own if group[i] == g]
+        order.append(g)
+        for i in own:
+            left[i + 1] = i - 1
+            ends[i] = i + size
+        smaller = []
+        for i in own:
+            p = left[i]
+            q = left[p + 1]
+            if q != p:
+                seen = [i]
+                while q != p:
+                    seen.append(p + 1)
+                    p = q
+                    q = left[p + 1]
+                for s in seen:
+                    left[s] = p
+                left[i + 1] = p
+            if p >= 0:
+                smaller.append(p)
+        if not smaller:
+            g = below[g]
+            continue
+        # A place found k times in a row is followed by k copies of the group's prefix.
+        if len(smaller) == 1:
+            risen = {(group[smaller[0]], 1): smaller}
+        else:
             times: dict[int, int] = {}
-            for i in own:
-                p = left[i]
-                if p >= 0 and left[p + 1] != p:
-                    seen = [i]
-                    while p >= 0 and (q := left[p + 1]) != p:
-                        seen.append(p + 1)
-                        p = q
-                    for s in seen:
-                        left[s] = p
-                    left[i + 1] = p
-                if p >= 0:
-                    times[p] = times.get(p, 0) + 1
-            risen: dict[tuple[int, int], list[int]] = {}
+            for p in smaller:
+                times[p] = times.get(p, 0) + 1
+            risen = {}
             for p, k in times.items():
                 key = (group[p], k)
                 if key in risen:
                     risen[key].append(p)
                 else:
                     risen[key] = [p]
-            for (h, k), moved in sorted(risen.items()) if len(risen) > 1 else risen.items():
-                # Ascending in the number of copies: each goes right above those of fewer copies.
-                low = last[1] if last[0] == h else h
-                new = len(members)
-                last = (h, new)
-                members.append(moved)
-                length.append(length[h] + k * size)
-                for p in moved:
-                    group[p] = new
-                up = above[low]
-                above.append(up)
-                below.append(low)
-                above[low] = new
-                below[up] = new
-            last = (-1, -1)
+        last = (-1, -1)  # the last group split and what was put above it
+        for (h, k), moved in sorted(risen.items()) if len(risen) > 1 else risen.items():
+            if live[h] == len(moved) and last[0] != h:  # all rise alike: the group itself grows
+                length[h] += k * size
+                members[h] = moved
+                continue
+            # Ascending in the number of copies: each goes right above those of fewer copies.
+            low = last[1] if last[0] == h else h
+            new = len(members)
+            last = (h, new)
+            members.append(moved)
+            live.append(len(moved))
+            live[h] -= len(moved)
+            length.append(length[h] + k * size)
+            for p in moved:
+                group[p] = new
+            up = above[low]
+            above.append(up)
+            below.append(low)
+            above[low] = new
+            below[up] = new
         g = below[g]
     return _emit(n, group, members, order, ends)
 
