@@ -21,12 +21,13 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch, id_text, kernel, mix64, shared_dir, stored
@@ -210,12 +211,12 @@ def _split(code: np.ndarray) -> list[np.ndarray]:
     return feature_rows(code // (side * side), code // side % side, code % side)
 
 
-def _sums(spark: SparkSession, chunks: DataFrame, vocab: Vocabulary, weights: np.ndarray | None) -> np.ndarray:
-    """Observed (no weights) or expected counts of each row and class over all training tokens."""
-    schema = pa.schema([("block", pa.int32()), ("sums", pa.binary())])
+def _observed(chunks: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """One reading of the training tokens: ``block, sums`` (observed counts of rows and classes, by task) and ``codes, counts`` (a chunk's distinct histories)."""
+    schema = pa.schema([("block", pa.int32()), ("sums", pa.binary()), ("codes", pa.binary()), ("counts", pa.binary())])
 
-    def local(batches):
-        out = np.zeros((ROWS, CLASSES), np.float64)
+    def run(batches):
+        out = np.zeros(ROWS * CLASSES)
         for b in batches:
             for uri in b.column("chunk").to_pylist():
                 chunk = _Chunk(uri)
@@ -225,50 +226,78 @@ def _sums(spark: SparkSession, chunks: DataFrame, vocab: Vocabulary, weights: np
                     continue
                 classes = np.fromiter(map(vocab.class_of, words), np.int64, len(words))
                 now, code = _histories(numbers, classes)
-                if weights is None:
-                    pairs, n = np.unique(code * CLASSES + now, return_counts=True)
-                    cls = pairs % CLASSES
-                    for rows in _split(pairs // CLASSES):
-                        out += np.bincount(rows * CLASSES + cls, n, ROWS * CLASSES).reshape(ROWS, CLASSES)
-                    continue
-                code, n = np.unique(code, return_counts=True)
-                for i in range(0, len(code), 1 << 15):
-                    rows = _split(code[i : i + (1 << 15)])
-                    p = np.exp(log_probabilities(weights, rows)) * n[i : i + (1 << 15), None]
+                pairs, n = np.unique(code * CLASSES + now, return_counts=True)
+                code, now = pairs // CLASSES, pairs % CLASSES
+                for rows in _split(code):
+                    out += np.bincount(rows * CLASSES + now, n, ROWS * CLASSES)
+                head = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+                yield batch(schema, [None], [None], [_pack(code[head].astype("<u4").tobytes())], [_pack(np.add.reduceat(n, head).astype("<u4").tobytes())])
+        yield from _by_block(out.reshape(ROWS, CLASSES), schema)
+
+    return kernel(chunks, run, "block int, sums binary, codes binary, counts binary")
+
+
+def _by_block(table: np.ndarray, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    step = ROWS // BLOCKS
+    for k in range(BLOCKS):
+        yield batch(schema, [k], [_pack(table[k * step : (k + 1) * step].astype(np.float32).tobytes())], *([None] for _ in schema.names[2:]))
+
+
+def _expected(contexts: DataFrame, weights: np.ndarray) -> DataFrame:
+    """``block, sums``: expected counts of rows and classes under the model, by task."""
+    schema = pa.schema([("block", pa.int32()), ("sums", pa.binary())])
+    weights = weights.astype(np.float32)
+
+    def run(batches):
+        out = np.zeros((ROWS, CLASSES))
+        for b in batches:
+            for codes, counts in zip(b.column("codes").to_pylist(), b.column("counts").to_pylist(), strict=True):
+                code, n = np.frombuffer(_unpack(codes), "<u4").astype(np.int64), np.frombuffer(_unpack(counts), "<u4").astype(np.float32)
+                for i in range(0, len(code), 1 << 14):
+                    rows = _split(code[i : i + (1 << 14)])
+                    p = np.exp(log_probabilities(weights, rows)) * n[i : i + (1 << 14), None]
                     for r in rows:
                         order = np.argsort(r, kind="stable")
                         s = r[order]
                         heads = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
                         out[s[heads]] += np.add.reduceat(p[order], heads)
-        step = ROWS // BLOCKS
-        for k in range(BLOCKS):
-            yield batch(schema, [k], [_pack(out[k * step : (k + 1) * step].astype(np.float32).tobytes())])
+        yield from _by_block(out, schema)
+
+    return kernel(contexts, run, "block int, sums binary")
 
-    def total(batches):
+
+def _added(sent: DataFrame) -> np.ndarray:
+    """The sum of all tasks' tables: added up by blocks on the executors, a table of fixed size on the driver."""
+    schema = pa.schema([("block", pa.int32()), ("sums", pa.binary())])
+
+    def run(batches):
         for block, rows in _runs_by(batches, "block"):
             out = np.zeros(ROWS // BLOCKS * CLASSES)
             for r in rows:
                 out += np.frombuffer(_unpack(r["sums"]), np.float32)
             yield batch(schema, [block], [out.tobytes()])
 
-    sent = kernel(chunks, local, "block int, sums binary")
-    added = kernel(sent.repartition(BLOCKS, "block").sortWithinPartitions("block"), total, "block int, sums binary")
     out = np.zeros((BLOCKS, ROWS // BLOCKS * CLASSES))
-    for r in added.collect():  # one table of fixed size
+    for r in kernel(sent.repartition(BLOCKS, "block").sortWithinPartitions("block"), run, "block int, sums binary").collect():
         out[r["block"]] = np.frombuffer(bytes(r["sums"]))
     return out.reshape(ROWS, CLASSES)
 
 
-def train(spark: SparkSession, chunks: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> np.ndarray:
-    """Weights (``ROWS`` by ``CLASSES``), the same size for any corpus."""
-    seen = _sums(spark, chunks, vocab, None)
+def train(chunks: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> np.ndarray:
+    """Weights (``ROWS`` by ``CLASSES``), the same size for any corpus.
+
+    Texts are read once; the rounds go over all distinct histories of each chunk with their counts.
+    """
+    observed = stored(_observed(chunks, vocab))
+    seen = _added(observed.where("block is not null").select("block", "sums"))
+    contexts = observed.where("codes is not null").select("codes", "counts")
     marginal = vocab.class_tokens + 1
     marginal = marginal / marginal.sum()
     weights = np.zeros((ROWS, CLASSES))
     first = seen[: CLASSES + 1]
     weights[: CLASSES + 1] = np.log((first + PRIOR * CLASSES * marginal) / (first.sum(1, keepdims=True) + PRIOR * CLASSES))
     for _ in range(rounds):
-        expected = _sums(spark, chunks, vocab, weights)
+        expected = _added(_expected(contexts, weights))
         weights += STEP * np.clip((seen - expected) / (np.maximum(seen, expected) + PRIOR), -1, 1)
     return weights
 
@@ -289,8 +318,9 @@ def scores(docs: DataFrame) -> DataFrame:
     n = max(1, chunks.count())
     counted = stored(_count(words, buckets))
     vocab = _vocabulary(counted)
-    weights = train(spark, chunks.repartition(min(n, 4 * spark.sparkContext.defaultParallelism)), vocab)
+    weights = train(chunks.repartition(min(n, 4 * spark.sparkContext.defaultParallelism)), vocab)
     spread = np.log10(vocab.class_tokens + vocab.class_types + 1)
+    small = weights.astype(np.float32)
     base_log = math.log10(vocab.tokens + vocab.types + 1)
     names = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     kinds = {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}
@@ -312,7 +342,7 @@ def scores(docs: DataFrame) -> DataFrame:
             order = np.argsort(back, kind="stable")
             bounds = np.searchsorted(back[order], np.arange(0, len(code) + (1 << 15), 1 << 15))
             for k, i in enumerate(range(0, len(code), 1 << 15)):
-                p = log_probabilities(weights, _split(code[i : i + (1 << 15)])) / math.log(10)
+                p = log_probabilities(small, _split(code[i : i + (1 << 15)])) / math.log(10)
                 at = order[bounds[k] : bounds[k + 1]]
                 class_logs[at] = p[back[at] - i, now[at]]
             class_logs -= spread[now]
