@@ -2,8 +2,8 @@
 
 Each letter has a random vector of ``DIMENSIONS`` signs, drawn from its code point.  An n-gram's
 vector binds the letters' vectors, each turned by its place: ``turn2(a) * turn1(b) * c``.  A
-text's profile bundles (adds) the vectors of its n-grams; a language's prototype bundles the unit
-profiles of its documents.  The language of a text is that of the prototype with the largest cosine.
+text's profile bundles (adds) the vectors of its n-grams; a language's prototype bundles the
+profiles of its documents, each scaled by the length of its n-gram counts.  The language of a text is that of the prototype with the largest cosine.
 Bundling is a sum, so prototypes come from one distributed pass over all labelled documents.
 """
 
@@ -50,12 +50,22 @@ class Profiler:
         self.common: list[int] = []
         self.index = np.full(self.COMMON**NGRAM, -1, np.int32)
 
+    @property
+    def full(self) -> bool:
+        """Whether the next text may empty the table, so that row numbers held from before lose their meaning."""
+        return len(self.rows) > CACHED_GRAMS
+
     def profile(self, text: str) -> np.ndarray | None:
-        """The bundled n-grams of the lower-cased letters, words set apart by one space; None without letters."""
+        """The bundled n-grams of a text; None without letters."""
+        found = self.grams(text)
+        return None if found is None else found[1] @ self.table[found[0]]
+
+    def grams(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
+        """Table rows and counts of the n-grams of the lower-cased letters, words set apart by one space; None without letters."""
         words = _NOT_LETTERS.sub(" ", text.lower()).strip()
         if not words:
             return None
-        if len(self.rows) > CACHED_GRAMS:
+        if self.full:
             self._reset()
         s = np.frombuffer(f" {words} ".encode("utf-32-le", "surrogatepass"), np.uint32)
         numbers = self.number[s]
@@ -75,10 +85,10 @@ class Profiler:
                 rows = self.index[grams]
             counts = np.bincount(rows)
             used = np.flatnonzero(counts)
-            return counts[used].astype(np.float32) @ self.table[used]
+            return used, counts[used].astype(np.float32)
         s = s.astype(np.uint64)
         codes, counts = np.unique(s[:-2] << np.uint64(42) | s[1:-1] << np.uint64(21) | s[2:], return_counts=True)
-        return counts.astype(np.float32) @ self.table[[self._row(c) for c in codes.tolist()]]
+        return np.array([self._row(c) for c in codes.tolist()]), counts.astype(np.float32)
 
     def _row(self, code: int) -> int:
         """The row of an n-gram, given as three code points of 21 bits."""
@@ -103,11 +113,25 @@ def learn(docs: DataFrame, lang_col: str = "lang") -> dict[str, np.ndarray]:
     schema = pa.schema([("lang", pa.string()), ("dim", pa.int32()), ("v", pa.float64())])
 
     def bundle(batches):
-        p, sums = Profiler(), {}
+        p, sums, counts = Profiler(), {}, {}
+
+        def add_up():  # n-grams are counted over documents first, and bound and bundled once
+            for lang, c in counts.items():
+                sums[lang] = sums.get(lang, 0.0) + c @ p.table[: len(c)].astype(np.float64)  # rows not in use are 0
+            counts.clear()
+
         for b in batches:
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
-                if (v := p.profile(text)) is not None and (size := np.linalg.norm(v)):
-                    sums[lang] = sums.get(lang, 0.0) + (v / size).astype(np.float64)
+                if p.full:
+                    add_up()
+                if (found := p.grams(text)) is None:
+                    continue
+                rows, n = found
+                c = counts.setdefault(lang, np.zeros(len(p.table)))
+                if len(c) < len(p.table):
+                    c = counts[lang] = np.concatenate([c, np.zeros(len(p.table) - len(c))])
+                c[rows] += n / np.linalg.norm(n)
+        add_up()
         for lang, v in sums.items():
             yield batch(schema, [lang] * DIMENSIONS, list(range(DIMENSIONS)), v)
 
