@@ -84,16 +84,24 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 class BoundedDict(dict):
-    """A cache with a maker for missing keys, emptied by ``trim`` when it has grown over ``limit``."""
+    """A cache with a maker for missing keys.
+
+    ``trim`` moves more than ``limit`` entries to an older generation, whose entries come back when they
+    are asked for again and are dropped with the next trim.
+    """
 
     def __init__(self, make: Callable, limit: int):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.older = make, limit, {}
 
     def __missing__(self, key):
-        value = self[key] = self.make(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
         return value
 
     def trim(self) -> None:
         if len(self) > self.limit:
+            self.older = dict(self)
             self.clear()

@@ -29,19 +29,12 @@ import regex
 from pyspark.sql import DataFrame
 
 from .common import BoundedDict, batch, id_text, kernel
-from .tokens import _PLAIN, _SPLIT
+from .tokens import _PLAIN, _SPLIT, byte_alphabet
 
 CACHED_WORDS = 200_000
 CACHED_LENGTH = 64
 
 
-def byte_alphabet() -> dict[int, str]:
-    """The printable stand-in of each byte in byte-level vocabularies: visible Latin-1 bytes stand for themselves, the others for code points from 256 on, in order."""
-    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in own]
-    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
-
-
 def lookahead(merges: list[tuple[str, str]], length=len) -> int:
     """Symbols that must follow a token before it is stable, for any continuation."""
     chain: dict[str, int] = {}  # by right operand: the longest chain that starts with a rule of higher rank number
