@@ -147,13 +147,13 @@ def _cut_chunks(docs: DataFrame, folder: str, buckets: int) -> DataFrame:
         uri = _write_chunk(folder, ids, data, starts)
         found = [(np.array([], np.uint64), np.array([], np.int64))]
         for _, _, anchor, doc in strings_of(np.frombuffer(data, np.uint8), starts):
-            order = np.lexsort((doc, anchor))
+            order = np.argsort(anchor, kind="stable")  # documents stay in order
             anchor, doc = anchor[order], doc[order]
             keep = np.ones(len(anchor), bool)
             keep[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
             found.append((anchor[keep], doc[keep]))
         anchor, doc = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.lexsort((doc, anchor))
+        order = np.argsort(anchor, kind="stable")
         anchor, doc = anchor[order], doc[order]
         head = np.ones(len(anchor), bool)
         head[1:] = anchor[1:] != anchor[:-1]
@@ -275,7 +275,7 @@ def _sharing(strings: list[bytes]) -> np.ndarray:
     owner = np.repeat(np.arange(len(strings)), sizes)[: len(window)]
     inside = np.arange(len(window)) + LENGTH <= ends[owner]
     window, owner = window[inside], owner[inside]
-    order = np.lexsort((owner, window))
+    order = np.argsort(window, kind="stable")  # owners stay in order
     window, owner = window[order], owner[order]
     same = (window[1:] == window[:-1]) & (owner[1:] != owner[:-1])
     out = np.zeros(len(strings), bool)
@@ -383,7 +383,8 @@ def _removed(chunk: _Chunk, answers: list[bytes]) -> np.ndarray:
     known = np.array(sorted(runs), np.int64)
     of: dict[bytes, list[tuple[int, int]]] = {}
     anchors = []
-    for first, count, anchor, _, base in chunk.strings():
+    every = list(chunk.strings())
+    for first, count, anchor, _, base in every:
         i, j = np.searchsorted(known, [base, base + len(first)])
         at = known[i:j] - base
         anchors.append(anchor[at])
@@ -393,7 +394,7 @@ def _removed(chunk: _Chunk, answers: list[bytes]) -> np.ndarray:
     raw = chunk.bytes
     begin: list[int] = []
     end: list[int] = []
-    for first, count, anchor, doc, _ in chunk.strings():
+    for first, count, anchor, doc, _ in every:
         spot = np.searchsorted(wanted, anchor)
         spot[spot == len(wanted)] = 0
         hit = np.flatnonzero(wanted[spot] == anchor)
