@@ -9,12 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from synchra.llm import jaccard, langid, packing, quality, substring_dedup
-from synchra.llm.common import batch, kernel, stored
+from synchra.llm.common import stored
 from synchra.llm.queries import vocabulary
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -39,32 +38,14 @@ def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the least id; of rows of one id, one."""
-    docs = docs.select(*COLUMNS)
-    near = jaccard.near_duplicates(docs)
-    first = near.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("kept_id"))
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    turn = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    return kept.withColumn("turn", turn).where("turn = 1").select(*COLUMNS)
+    """Of each group of near duplicates the document with the least id; rows that only share an id, or have none, all stay."""
+    return jaccard.without_near_duplicates(docs.select(*COLUMNS))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the 50-byte strings that one of a smaller id has; code points cut in part go too.
-
-    The other columns come from the input by id; of rows of one id, one stays.
-    """
-    docs = docs.select(*COLUMNS)
-    cut = substring_dedup.remove_repeats(docs, keep_text=True).select("doc_id", "kept")
-    schema = pa.schema([("cut_id", pa.int64()), ("text", pa.string())])
-
-    def text(batches):
-        for b in batches:
-            yield batch(schema, b.column("doc_id"), [x.decode("utf-8", "ignore") for x in b.column("kept").to_pylist()])
-
-    rest = docs.select("doc_id", "lang", "source").dropDuplicates(["doc_id"])
-    joined = kernel(cut, text, "cut_id long, text string").join(rest, F.col("doc_id").eqNullSafe(F.col("cut_id")))
-    turn = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    return joined.withColumn("turn", turn).where("turn = 1").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    """All rows, without the 50-byte strings that one of a smaller id has; code points cut in part go too."""
+    cut = substring_dedup.remove_repeats(docs.select(*COLUMNS), keep_text=True, carry=("lang", "source"), as_text=True)
+    return cut.withColumnRenamed("kept", "text").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

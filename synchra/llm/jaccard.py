@@ -1,6 +1,6 @@
 """Near-duplicate join of documents on word shingles by an LSH forest of MinHash signatures.
 
-1. Documents of one shingle set form a class, stood for by its least id.
+1. Documents of one shingle set form a class with a number of its own; ids, which may be null or repeated, only name results.
 2. A class has ``TREES`` labels of ``LONGEST`` MinHash values.  A tree is a trie over labels: classes
    that share a prefix of a label stand below one node.  Prefixes are shortened from ``LONGEST`` on
    until pairs at the threshold meet in some tree with the target recall (``depth``).
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch, id_text, kernel, mix64, stored
@@ -71,9 +71,14 @@ def nodes(signatures: np.ndarray, d: int) -> np.ndarray:
     return out
 
 
+def place(docs: DataFrame) -> Column:
+    """A hash of a row's id and text, by which rows are found again where ids are null or repeated."""
+    return F.xxhash64(F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_KEY)), F.coalesce(docs["text"], F.lit("")))
+
+
 def with_signatures(docs: DataFrame) -> DataFrame:
-    """``doc_id, key, size, sig``: identity of the shingle set, its number of shingles, its signature (null if empty)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("size", pa.int32()), ("sig", pa.binary())])
+    """``doc_id, place, key, size, sig``: identity of the shingle set, its number of shingles, its signature (null if empty)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("place", pa.int64()), ("key", pa.binary()), ("size", pa.int32()), ("sig", pa.binary())])
 
     def run(batches):
         shingler = Shingler()
@@ -84,9 +89,10 @@ def with_signatures(docs: DataFrame) -> DataFrame:
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()))
                 sizes.append(len(s))
                 sigs.append(signature(s).tobytes() if len(s) else None)
-            yield batch(schema, b.column("doc_id"), keys, sizes, sigs)
+            yield batch(schema, b.column("doc_id"), b.column("place"), keys, sizes, sigs)
 
-    return kernel(id_text(docs), run, "doc_id long, key binary, size int, sig binary")
+    whole = id_text(docs)
+    return kernel(whole.withColumn("place", place(whole)), run, "doc_id long, place long, key binary, size int, sig binary")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
@@ -170,22 +176,12 @@ def _verified(sets: list[np.ndarray], side: np.ndarray, tree: int, copies: np.nd
     return [(int(ids[i]), int(docs[i]), int(classes[i]), int(ids[find(i)])) for i in np.flatnonzero(classes)]
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """All documents with their groups of similar ones, one row per input row.
-
-    ``doc_id``; ``class_id``: the least id of its connected group at Jaccard similarity ``threshold``
-    of five-word shingles; ``rep_id``: the least id with the same shingle set; ``n_links``: other
-    documents at or above the threshold, copies included; ``n_class_links``: the same, one for
-    each shingle set.
-
-    Words are lower-cased and set apart by white space; a text of fewer than five words is one
-    shingle; texts without words (null, empty, blank) are copies of each other and of nothing else.  A
-    null id counts as the least id and is returned null; an empty table gives none.
-    """
+def _linked(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, key`` of all rows; ``key, group, least, copies, docs, classes`` of all classes, ``least`` being the ``doc_id, place`` of a class's least row."""
     d = depth(threshold)
     whole = id_text(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(NULL_KEY)))
     signed = stored(with_signatures(whole))
-    classes = stored(signed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig")))
+    classes = stored(signed.groupBy("key").agg(F.min(F.struct("doc_id", "place")).alias("least"), F.count("*").alias("copies"), F.first("sig").alias("sig")).withColumn("rep", F.monotonically_increasing_id()))
     bucket_schema = pa.schema([("rep", pa.int64()), ("copies", pa.int64()), ("tree", pa.int32()), ("node", pa.int64())])
 
     def plant(batches):
@@ -210,17 +206,21 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                 yield from g.filter(pa.array(keep)).select(likely_schema.names).combine_chunks().to_batches()
 
     likely = stored(kernel(members.select("unit", "rep", "copies", "tree", "side", "sig"), compare, "unit long, rep long, copies long, tree int, side int"))
-    wanted = likely.select(F.col("rep").alias("doc_id")).distinct()
+    wanted = classes.join(likely.select("rep").distinct(), "rep", "left_semi").select("rep", "key", F.col("least.place").alias("place"))
+    wanted = stored(wanted)
+    places = wanted.select("place").distinct()
     if wanted.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    set_schema = pa.schema([("rep", pa.int64()), ("set", pa.binary())])
+        places = F.broadcast(places)
+    set_schema = pa.schema([("key", pa.binary()), ("set", pa.binary())])
 
     def again(batches):
         shingler = Shingler()
         for b in batches:
-            yield batch(set_schema, b.column("doc_id"), [shingler.distinct(t).tobytes() for t in b.column("text").to_pylist()])
+            sets = [shingler.distinct(t).tobytes() for t in b.column("text").to_pylist()]
+            yield batch(set_schema, [xxhash.xxh3_128_digest(x) for x in sets], sets)
 
-    sets = kernel(whole.join(wanted, "doc_id", "left_semi"), again, "rep long, set binary")
+    found = kernel(whole.withColumn("place", place(whole)).join(places, "place", "left_semi").select("text"), again, "key binary, set binary")
+    sets = found.join(wanted.select("key", "rep"), "key").select("rep", "set")
     link_schema = pa.schema([("rep", pa.int64()), ("docs", pa.int64()), ("classes", pa.int64()), ("root", pa.int64())])
 
     def verify(batches):
@@ -235,10 +235,39 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     links = stored(kernel(units.select("unit", "rep", "copies", "tree", "side", "set"), verify, "rep long, docs long, classes long, root long"))
     roots = components(links.select(F.col("rep").alias("u"), F.col("root").alias("v")))
     totals = links.groupBy("rep").agg(F.sum("docs").alias("docs"), F.sum("classes").alias("classes"))
-    known = classes.select("key", "rep", "copies").join(totals, "rep", "left").join(roots.withColumnRenamed("vertex", "rep"), "rep", "left")
-    out = signed.select("doc_id", "key").join(known, "key")
+    known = classes.select("key", "rep", "least", "copies").join(totals, "rep", "left").join(roots.withColumnRenamed("vertex", "rep"), "rep", "left")
+    return signed.select("doc_id", "key"), known.withColumn("group", F.coalesce("root", "rep"))
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """All documents with their groups of similar ones, one row per input row.
+
+    ``doc_id``; ``class_id``: the least id of its connected group at Jaccard similarity ``threshold``
+    of five-word shingles; ``rep_id``: the least id with the same shingle set; ``n_links``: other
+    documents at or above the threshold, copies included; ``n_class_links``: the same, one for
+    each shingle set.
+
+    Words are lower-cased and set apart by white space; a text of fewer than five words is one
+    shingle; texts without words (null, empty, blank) are copies of each other and of nothing else.  A
+    null id counts as the least id and is returned null; an empty table gives none.  Rows of one id, or
+    without one, are compared like any others; groups with the same least id share its ``class_id``.
+    """
+    signed, known = _linked(docs, threshold)
+    first = known.groupBy("group").agg(F.min("least.doc_id").alias("class_id"))
+    out = signed.join(known.join(first, "group"), "key")
     real = lambda c: F.when(c != NULL_KEY, c)
     return out.select(
-        real(F.col("doc_id")).alias("doc_id"), real(F.coalesce("root", "rep")).alias("class_id"), real(F.col("rep")).alias("rep_id"),
+        real(F.col("doc_id")).alias("doc_id"), real(F.col("class_id")).alias("class_id"), real(F.col("least.doc_id")).alias("rep_id"),
         (F.col("copies") - 1 + F.coalesce("docs", F.lit(0))).alias("n_links"), F.coalesce("classes", F.lit(0)).alias("n_class_links"),
     )
+
+
+def without_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """One row of each connected group, all columns: the one with the least id, and of several with that id and different texts one.
+
+    Groups are told apart by their texts alone, so rows of one id, or without one, stay if no row is similar to them.
+    """
+    least = _linked(docs, threshold)[1].groupBy("group").agg(F.min("least").alias("least")).select(F.col("least.place").alias("place"))
+    kept = docs.withColumn("place", place(docs)).join(least, "place", "left_semi")
+    # Equal rows share a place; a second hash of the text keeps others apart.
+    return kept.withColumn("other", F.xxhash64(F.lit(7), F.coalesce("text", F.lit("")))).dropDuplicates(["place", "other"]).select(*docs.columns)

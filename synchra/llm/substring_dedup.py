@@ -22,6 +22,7 @@ copies.  Files are named by the task that wrote them and used only if a committe
 from __future__ import annotations
 
 import hashlib
+import json
 import struct
 import uuid
 from collections.abc import Iterator
@@ -33,7 +34,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, id_text, kernel, mix64, shared_dir, stored
+from .common import batch, kernel, mix64, shared_dir, stored
 from .suffixarray import suffix_array
 
 LENGTH = 50
@@ -108,12 +109,13 @@ def _unpack(blob: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, n).T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
-def _write_chunk(folder: str, ids: list, data: bytes, starts: np.ndarray) -> str:
+def _write_chunk(folder: str, ids: list, data: bytes, starts: np.ndarray, carried: list[tuple] = ()) -> str:
     where, base = fs.FileSystem.from_uri(folder)
     where.create_dir(base, recursive=True)
     name = uuid.uuid4().hex
     with where.open_output_stream(f"{base}/{name}", compression=None) as f:
-        f.write(struct.pack("<QQ", len(ids), len(data)) + np.array(ids, np.int64).tobytes() + starts.tobytes())
+        extra = zstandard.ZstdCompressor(level=1).compress(json.dumps(carried).encode())
+        f.write(struct.pack("<QQQ", len(ids), len(data), len(extra)) + np.array(ids, np.int64).tobytes() + starts.tobytes() + extra)
         f.write(zstandard.ZstdCompressor(level=3).compress(data))
     return f"{folder}/{name}"
 
@@ -123,12 +125,18 @@ class _Chunk:
         where, path = fs.FileSystem.from_uri(uri)
         with where.open_input_file(path) as f:
             raw = f.read()
-        n, size = struct.unpack_from("<QQ", raw)
-        self.ids = np.frombuffer(raw, np.int64, n, 16)
-        self.starts = np.frombuffer(raw, np.int64, n + 1, 16 + 8 * n)
-        self.bytes = zstandard.ZstdDecompressor().decompress(raw[24 + 16 * n :], max_output_size=max(size, 1))
+        n, size, extra = struct.unpack_from("<QQQ", raw)
+        self.ids = np.frombuffer(raw, np.int64, n, 24)
+        self.starts = np.frombuffer(raw, np.int64, n + 1, 24 + 8 * n)
+        at = 32 + 16 * n
+        self.packed = raw[at : at + extra]
+        self.bytes = zstandard.ZstdDecompressor().decompress(raw[at + extra :], max_output_size=max(size, 1))
         self.data = np.frombuffer(self.bytes, np.uint8)
 
+    def carried(self) -> list[list]:
+        """The values that go along with each document."""
+        return json.loads(zstandard.ZstdDecompressor().decompress(self.packed))
+
     def strings(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]]:
         """As ``strings_of``, with the number of the first run of each step."""
         n = 0
@@ -137,14 +145,14 @@ class _Chunk:
             n += len(first)
 
 
-def _cut_chunks(docs: DataFrame, folder: str, buckets: int) -> DataFrame:
+def _cut_chunks(docs: DataFrame, folder: str, buckets: int, carry: tuple[str, ...] = ()) -> DataFrame:
     """Write chunk files; rows ``chunk, bucket, anchors`` (hashes with their lowest bit set where two documents of the chunk have them)."""
     schema = pa.schema([("chunk", pa.string()), ("bucket", pa.int32()), ("anchors", pa.binary())])
 
-    def close(ids, texts):
+    def close(ids, texts, values):
         data = b"".join(texts)
         starts = np.cumsum([0, *map(len, texts)], dtype=np.int64)
-        uri = _write_chunk(folder, ids, data, starts)
+        uri = _write_chunk(folder, ids, data, starts, values)
         found = [(np.array([], np.uint64), np.array([], np.int64))]
         for _, _, anchor, doc in strings_of(np.frombuffer(data, np.uint8), starts):
             order = np.argsort(anchor, kind="stable")  # documents stay in order
@@ -167,18 +175,19 @@ def _cut_chunks(docs: DataFrame, folder: str, buckets: int) -> DataFrame:
         yield batch(schema, *map(list, zip(*(rows or [(uri, 0, _pack(anchor))]), strict=True)))
 
     def run(batches):
-        ids, texts, size = [], [], 0
+        ids, texts, values, size = [], [], [], 0
         for b in batches:
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+            for doc_id, text, *more in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", *carry)), strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
                 if ids and size + len(raw) > CHUNK:
-                    yield from close(ids, texts)
-                    ids, texts, size = [], [], 0
+                    yield from close(ids, texts, values)
+                    ids, texts, values, size = [], [], [], 0
                 ids.append(doc_id)
                 texts.append(raw)
+                values.append(more)
                 size += len(raw)
         if ids:
-            yield from close(ids, texts)
+            yield from close(ids, texts, values)
 
     return kernel(docs, run, "chunk string, bucket int, anchors binary")
 
@@ -411,26 +420,27 @@ def _removed(chunk: _Chunk, answers: list[bytes]) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
-def remove_repeats(docs: DataFrame, keep_text: bool = False, length: int = LENGTH) -> DataFrame:
+def remove_repeats(docs: DataFrame, keep_text: bool = False, length: int = LENGTH, carry: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
     """Cut every string of 50 bytes that a document of a smaller id also has; one row per input row.
 
-    ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``, with ``kept`` (binary, the bytes left) on request.
+    ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``, with ``kept`` (binary, the bytes left; with
+    ``as_text`` a string, without code points cut in part) on request, and the string columns named in ``carry``, each row's own.
     All strings are judged on the input; matches don't cross documents; rows of one id don't remove each other's
     bytes.  Null text counts as empty; a null id counts as the least; an empty table gives none.
     """
     spark = docs.sparkSession
     if length != LENGTH:
         raise ValueError("anchors are laid out for strings of 50 bytes")
-    whole = id_text(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(NULL_KEY)))
+    whole = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *carry)
     total = whole.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-int(total) // CHUNK))
-    anchors = stored(_cut_chunks(whole, shared_dir(spark), buckets))
+    anchors = stored(_cut_chunks(whole, shared_dir(spark), buckets, carry))
     chunks = stored(anchors.select("chunk").distinct())
     n = max(1, chunks.count())
     sent = _send_strings(_shared_anchors(anchors, buckets), n, buckets)
     answers = _answer(sent, buckets)
     every = answers.unionByName(chunks.withColumn("runs", F.lit(None).cast("binary"))).repartition(n, "chunk").sortWithinPartitions("chunk")
-    names = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
+    names = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept string" if as_text else ", kept binary") * keep_text + "".join(f", {c} string" for c in carry)
     kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
     schema = pa.schema([(c, kinds[k]) for c, k in (x.split() for x in names.split(", "))])
 
@@ -438,13 +448,13 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False, length: int = LENGT
         for uri, rows in _runs_by(batches, "chunk"):
             chunk = _Chunk(uri)
             gone = _removed(chunk, [zstandard.ZstdDecompressor().decompressobj().decompress(r["runs"]) for r in rows if r["runs"] is not None])
-            out = []
+            out, carried = [], chunk.carried()
             for k, (i, j) in enumerate(zip(chunk.starts[:-1].tolist(), chunk.starts[1:].tolist(), strict=True)):
                 mine = gone[i:j]
                 left = chunk.data[i:j][~mine].tobytes() if mine.any() else chunk.bytes[i:j]
                 spans = int(mine[:1].sum() + np.count_nonzero(mine[1:] & ~mine[:-1]))
                 doc_id = int(chunk.ids[k])
-                out.append((None if doc_id == NULL_KEY else doc_id, j - i, j - i - len(left), spans, hashlib.sha256(left).hexdigest(), left)[: len(schema)])
+                out.append((None if doc_id == NULL_KEY else doc_id, j - i, j - i - len(left), spans, hashlib.sha256(left).hexdigest(), *[left.decode("utf-8", "ignore") if as_text else left] * keep_text, *carried[k]))
                 if len(out) == 512:
                     yield batch(schema, *map(list, zip(*out, strict=True)))
                     out = []

@@ -61,3 +61,16 @@ def test_whole_run(spark):
 def test_queries_give_a_row_for_each_document(spark, name):
     n = spark.read.parquet(f"{SF}/documents.parquet").count()
     assert q.queries()[name](spark, SF).select("doc_id").distinct().count() == n
+
+
+def test_rows_without_an_id_of_their_own_stay(spark):
+    """Different clean texts of a null or repeated id all stay; only near copies go."""
+    text = lambda k: " ".join(f"word{k}x{j}" for j in range(40))
+    data = [(None, text(k)) for k in range(12)] + [(7, text(k)) for k in range(20, 32)] + [(None, text(3)), (9, text(25)), (8, text(26) + " more")]
+    docs = spark.createDataFrame([(i, t, f"l{k}", f"s{k}", len(t)) for k, (i, t) in enumerate(data)], "doc_id long, text string, lang string, source string, n_chars long")
+    once = cp.keep_one_of_similar(spark, docs, SF).collect()
+    assert sorted(r.text for r in once) == sorted(text(k) for k in [*range(12), *range(20, 32)])
+    assert {(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in once} <= {tuple(r) for r in docs.collect()}
+    rest = cp.cut_repeats(spark, docs, SF).collect()
+    assert sorted((r.lang, r.source) for r in rest) == sorted((f"l{k}", f"s{k}") for k in range(len(data)))
+    assert {r.lang: r.text for r in rest if r.lang in ("l0", "l12", "l24")} == {"l0": text(0), "l12": text(20), "l24": text(3)}

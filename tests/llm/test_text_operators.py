@@ -412,3 +412,11 @@ def test_ogg_streams(n):
             ogg.read_ogg(bytes(bad))
     with pytest.raises(ValueError):
         ogg.read_ogg(media[:-1])
+
+
+def test_near_duplicates_of_rows_that_share_an_id(spark):
+    """Classes and links follow texts where ids are null or repeated."""
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(60))
+    data = [(5, text(0)), (5, text(1)), (5, text(2)), (None, text(3)), (None, text(4)), (8, text(1) + " end"), (9, text(2) + " end"), (10, text(4) + " end"), (11, text(6))]
+    got = jaccard.near_duplicates(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert collections.Counter((r.doc_id, r.class_id, r.n_links) for r in got) == {(5, 5, 1): 2, (5, 5, 0): 1, (None, None, 1): 1, (None, None, 0): 1, (8, 5, 1): 1, (9, 5, 1): 1, (10, None, 1): 1, (11, 11, 0): 1}
