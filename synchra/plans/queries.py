@@ -739,7 +739,7 @@ def q_hyperparam_grid(spark, d):
 
 def fitted(name: str, **params) -> Query:
     def run(spark, d):
-        m = pg.create(name, n_states=3, n_subj_clstrs=4, n_init=3, hmm_iter=3, levels=24, **params)
+        m = pg.create(name, n_states=3, n_subj_clstrs=4, n_init=500, hmm_iter=30, levels=100, **params)
         s = ts(spark, d).persist()
         return m.fit(s).assess(s) if m.state_based else m.assess(s)
 

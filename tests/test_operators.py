@@ -14,6 +14,7 @@ from synchra.operators import series as se
 from synchra.operators import states as st
 from synchra.operators import stats as sa
 from synchra.plans import grid as pg
+from synchra.plans import queries
 from synchra.sources import files as fl
 from synchra.sources import tables as tb
 
@@ -231,3 +232,23 @@ def test_entry_works_without_text_operators():
     root = Path(__file__).resolve().parent.parent
     code = "import sys; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; assert 'sw_pearson' in e.queries()"
     assert subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True).returncode == 0
+
+
+def test_registered_fits_run_in_full(spark, monkeypatch):
+    """All scales of the wavelets and the reference's numbers of starts."""
+    seen = []
+
+    class Seen(Exception):
+        pass
+
+    def create(name, **params):
+        seen.append(real(name, **params))
+        raise Seen
+
+    real = pg.create
+    monkeypatch.setattr(queries.pg, "create", create)
+    for name in ("cap_fit", "swc_fit", "chmm_fit", "dhmm_fit", "time_freq_wtc", "time_freq_cwt_mag", "time_freq_cwt_phase_r", "time_freq_cwt_phase_a"):
+        with pytest.raises(Seen):
+            queries.QUERIES[name](spark, "")
+    least = {"levels": 100, "n_init": 500, "hmm_iter": 20}
+    assert all(m.params[k] >= v for m in seen for k, v in least.items() if k in m.params)
