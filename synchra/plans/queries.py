@@ -500,7 +500,7 @@ def q_tr_intersection(spark, d):
 
 @query("SELECT subj FROM (SELECT DISTINCT user_id % 7 AS subj, user_id % 2 AS s FROM events WHERE user_id < 60) GROUP BY subj HAVING count(*) = 2")
 def q_common_subjects(spark, d):
-    e = tb.table(spark, d, "events").where("user_id < 60").select((F.col("user_id") % 7).alias("subj"), (F.col("user_id") % 2).alias("session"))
+    e = tb.table(spark, d, "events").select((F.col("user_id") % 7).alias("subj"), (F.col("user_id") % 2).alias("session"))
     return pg.common_subjects(e)
 
 

@@ -252,3 +252,10 @@ def test_registered_fits_run_in_full(spark, monkeypatch):
             queries.QUERIES[name](spark, "")
     least = {"levels": 100, "n_init": 500, "hmm_iter": 20}
     assert all(m.params[k] >= v for m in seen for k, v in least.items() if k in m.params)
+
+
+def test_common_subjects_of_all_users(spark, tmp_path):
+    """A subject whose second session is of a late user counts."""
+    spark.createDataFrame([(7,), (70,), (1,), (78,), (9,)], "user_id long").write.parquet(str(tmp_path / "events.parquet"))
+    got = queries.QUERIES["common_subjects"](spark, str(tmp_path)).collect()
+    assert sorted(r.subj for r in got) == [0, 1]
