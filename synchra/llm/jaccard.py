@@ -33,8 +33,6 @@ TREES = 24
 LONGEST = 6
 RECALL = 0.9999
 BLOCK = 256
-#: Five standard errors of the signature's estimate at the threshold.
-MARGIN = 5 * (THRESHOLD * (1 - THRESHOLD) / (TREES * LONGEST)) ** 0.5
 #: Ids of possible partners up to this number (16 MB) are sent to all executors; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 NULL_KEY = -(1 << 63)
@@ -51,6 +49,11 @@ def depth(threshold: float = THRESHOLD, trees: int = TREES, longest: int = LONGE
     return d
 
 
+def margin(threshold: float = THRESHOLD) -> float:
+    """Five standard errors of the signature's estimate at the threshold."""
+    return 5 * (threshold * (1 - threshold) / (TREES * LONGEST)) ** 0.5
+
+
 def signature(shingles: np.ndarray) -> np.ndarray:
     """``TREES * LONGEST`` MinHash values of 16 bits, tree by tree."""
     low = np.full(len(_A), np.iinfo(np.uint32).max, np.uint32)
@@ -130,13 +133,13 @@ def _first_meeting(own: np.ndarray, others: np.ndarray, tree: int) -> np.ndarray
     return ~(others[:, :tree] == own[:tree]).any(1)
 
 
-def _likely(rows: pa.Table, d: int) -> np.ndarray:
+def _likely(rows: pa.Table, d: int, threshold: float) -> np.ndarray:
     sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint16).reshape(rows.num_rows, -1)
     side, tree = rows.column("side").to_numpy(), rows.column("tree")[0].as_py()
     met = nodes(sig, d)
     likely = np.zeros(len(sig), bool)
     for i, j in _pairs(side):
-        ok = (sig[j] == sig[i]).mean(1) >= THRESHOLD - MARGIN
+        ok = (sig[j] == sig[i]).mean(1) >= threshold - margin(threshold)
         ok &= _first_meeting(met[i], met[j], tree)
         if ok.any():
             likely[i] = True
@@ -202,7 +205,7 @@ def _linked(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
 
     def compare(batches):
         for g in _groups(batches, "unit"):
-            if g.num_rows > 1 and (keep := _likely(g, d)).any():
+            if g.num_rows > 1 and (keep := _likely(g, d, threshold)).any():
                 yield from g.filter(pa.array(keep)).select(likely_schema.names).combine_chunks().to_batches()
 
     likely = stored(kernel(members.select("unit", "rep", "copies", "tree", "side", "sig"), compare, "unit long, rep long, copies long, tree int, side int"))

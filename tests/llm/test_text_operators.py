@@ -420,3 +420,15 @@ def test_near_duplicates_of_rows_that_share_an_id(spark):
     data = [(5, text(0)), (5, text(1)), (5, text(2)), (None, text(3)), (None, text(4)), (8, text(1) + " end"), (9, text(2) + " end"), (10, text(4) + " end"), (11, text(6))]
     got = jaccard.near_duplicates(spark.createDataFrame(data, "doc_id long, text string")).collect()
     assert collections.Counter((r.doc_id, r.class_id, r.n_links) for r in got) == {(5, 5, 1): 2, (5, 5, 0): 1, (None, None, 1): 1, (None, None, 0): 1, (8, 5, 1): 1, (9, 5, 1): 1, (10, None, 1): 1, (11, 11, 0): 1}
+
+
+def test_near_duplicates_at_a_lower_threshold(spark):
+    data = {}
+    for k in range(12):
+        w = [f"w{k}x{j}" for j in range(104)]
+        data[2 * k] = " ".join(w)
+        data[2 * k + 1] = " ".join([*w[:73], *(f"z{k}x{j}" for j in range(31))])  # 69 of 131 shingles: 0.53
+    near, root = brute_links(data, 0.5)
+    got = rows(jaccard.near_duplicates(spark.createDataFrame(list(data.items()), "doc_id long, text string"), 0.5))
+    assert {i: r.n_links for i, r in got.items()} == {i: len(near[i]) for i in data} == dict.fromkeys(data, 1)
+    assert {i: r.class_id for i, r in got.items()} == root
