@@ -1,9 +1,10 @@
-"""Near-duplicate join of documents on word shingles by an LSH forest of MinHash signatures.
+"""Near-duplicate join of documents on word shingles by bands of MinHash signatures.
 
 1. Documents of one shingle set form a class with a number of its own; ids, which may be null or repeated, only name results.
-2. A class has ``TREES`` labels of ``LONGEST`` MinHash values.  A tree is a trie over labels: classes
-   that share a prefix of a label stand below one node.  Prefixes are shortened from ``LONGEST`` on
-   until pairs at the threshold meet in some tree with the target recall (``depth``).
+2. A class has ``TREES`` labels of ``LONGEST`` MinHash values.  Classes that share a prefix
+   of a label stand below one node.  The prefix's length is fixed beforehand, by a formula, so that pairs
+   at the threshold meet in some tree with the target recall (``depth``): banding, not a forest whose
+   prefixes are shortened by what they match.
 3. Below a node, members are dealt over blocks of about ``BLOCK``; a *unit* is a node and two
    of its blocks.  A unit's kernel compares signatures and passes on the members that have a
    likely partner, not the pairs.  A pair counts in the first tree that brings it together.
