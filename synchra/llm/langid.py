@@ -13,6 +13,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
@@ -21,10 +22,13 @@ from .common import BoundedDict, batch, kernel, mix64
 
 DIMENSIONS = 512
 NGRAM = 3
-#: N-gram vectors kept by a worker (512 bytes each).
-CACHED_GRAMS = 100_000
+#: N-gram vectors kept by a worker (512 bytes each, one for a sign).
+CACHED_GRAMS = 50_000
+#: Languages that may be learned; what reaches the driver is a vector for each.
+MOST_LANGUAGES = 4096
 UNDETERMINED = "und"
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
+_NOT_LETTERS_AT_ALL = regex.compile(r"\P{L}+")
 
 
 def letter_signs(code: int) -> np.ndarray:
@@ -40,12 +44,12 @@ class Profiler:
     COMMON = 128
 
     def __init__(self):
-        self.letters = BoundedDict(letter_signs, 10_000)
+        self.letters = BoundedDict(letter_signs, 1024)
         self._reset()
 
     def _reset(self) -> None:
         self.rows: dict[int, int] = {}
-        self.table = np.zeros((4096, DIMENSIONS), np.float32)
+        self.table = np.zeros((4096, DIMENSIONS), np.int8)
         self.number = np.full(0x110000, self.COMMON, np.uint8)
         self.common: list[int] = []
         self.index = np.full(self.COMMON**NGRAM, -1, np.int32)
@@ -58,11 +62,13 @@ class Profiler:
     def profile(self, text: str) -> np.ndarray | None:
         """The bundled n-grams of a text; None without letters."""
         found = self.grams(text)
-        return None if found is None else found[1] @ self.table[found[0]]
+        return None if found is None else found[1] @ self.table[found[0]].astype(np.float32)
 
     def grams(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
         """Table rows and counts of the n-grams of the lower-cased letters, words set apart by one space; None without letters."""
         words = _NOT_LETTERS.sub(" ", text.lower()).strip()
+        if not words.isascii() and not words.replace(" ", "").isalpha():  # numbers that aren't digits are left
+            words = _NOT_LETTERS_AT_ALL.sub(" ", words).strip()
         if not words:
             return None
         if self.full:
@@ -108,7 +114,7 @@ class Profiler:
 def learn(docs: DataFrame, lang_col: str = "lang") -> dict[str, np.ndarray]:
     """Prototypes (unit vectors) by language from ``text`` and ``lang``; rows with a null language or no letter are left out.
 
-    What reaches the driver is one number per language and dimension.
+    What reaches the driver is one number per language and dimension, for ``MOST_LANGUAGES`` at most; more raise ValueError.
     """
     schema = pa.schema([("lang", pa.string()), ("dim", pa.int32()), ("v", pa.float64())])
 
@@ -117,7 +123,8 @@ def learn(docs: DataFrame, lang_col: str = "lang") -> dict[str, np.ndarray]:
 
         def add_up():  # n-grams are counted over documents first, and bound and bundled once
             for lang, c in counts.items():
-                sums[lang] = sums.get(lang, 0.0) + c @ p.table[: len(c)].astype(np.float64)  # rows not in use are 0
+                for k in range(0, len(c), 4096):  # rows not in use are 0
+                    sums[lang] = sums.get(lang, 0.0) + c[k : k + 4096] @ p.table[k : k + 4096].astype(np.float64)
             counts.clear()
 
         for b in batches:
@@ -137,7 +144,10 @@ def learn(docs: DataFrame, lang_col: str = "lang") -> dict[str, np.ndarray]:
 
     known = docs.select(F.col(lang_col).alias("lang"), "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     out: dict[str, np.ndarray] = {}
-    for r in kernel(known, bundle, "lang string, dim int, v double").groupBy("lang", "dim").agg(F.sum("v").alias("v")).collect():
+    sent = kernel(known, bundle, "lang string, dim int, v double").groupBy("lang", "dim").agg(F.sum("v").alias("v")).limit(MOST_LANGUAGES * DIMENSIONS + 1).collect()
+    if len(sent) > MOST_LANGUAGES * DIMENSIONS:
+        raise ValueError(f"more than {MOST_LANGUAGES} different values of {lang_col}: not a column of languages")
+    for r in sent:
         out.setdefault(r["lang"], np.zeros(DIMENSIONS))[r["dim"]] = r["v"]
     return {k: (v / np.linalg.norm(v)).astype(np.float32) for k, v in sorted(out.items())}
 
@@ -145,7 +155,8 @@ def learn(docs: DataFrame, lang_col: str = "lang") -> dict[str, np.ndarray]:
 def predict(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
     """Adds ``lang_pred`` and ``score`` (the cosine, negative ones as 0) to ``docs`` by its ``text`` alone.
 
-    Null text, text without a letter, or no prototypes: ``und`` and 0.  Ties go to the language that sorts first.
+    Null text, text without a letter (Unicode category L), or no prototypes: ``und`` and 0.  Ties go to the language that sorts first.
+    Columns of ``docs`` with those two names are replaced.
     """
     names, matrix = list(prototypes), np.array(list(prototypes.values()), np.float32).reshape(-1, DIMENSIONS)
     others = [c for c in docs.columns if c not in ("lang_pred", "score")]

@@ -145,7 +145,7 @@ def fit(vectors: DataFrame, labels: DataFrame, label_col: str = "quality") -> Di
 
 
 def score(docs: DataFrame, model: Discriminant) -> DataFrame:
-    """Adds ``score`` and ``predicted`` to ``docs`` from its ``text`` alone (null counts as empty)."""
+    """Adds ``score`` and ``predicted`` to ``docs`` from its ``text`` alone (null counts as empty); columns of those names are replaced."""
     others = [c for c in docs.columns if c not in ("score", "predicted")]
     docs = docs.select(others)
 

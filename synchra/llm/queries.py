@@ -5,16 +5,16 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import fingerprint, jaccard, langid, lmscore, ogg, packing, quality, sstable, substring_dedup, transducer
 
-#: Folder with the public vocabulary files.
-TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
-
 
 def vocabulary(name: str) -> str:
-    return os.path.join(TOKENIZERS, name)
+    """Path of a public vocabulary file; the environment variable ``TOKENIZERS_DIR`` may name another folder."""
+    folder = os.environ.get("TOKENIZERS_DIR")
+    return os.path.join(folder, name) if folder else str(public_tokenizers.path(name))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

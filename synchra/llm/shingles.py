@@ -21,9 +21,9 @@ class Shingler:
     A text of fewer words has the one shingle of all its words; a text without words has none.
     """
 
-    def __init__(self, words: int = WORDS, cache: int = 400_000):
+    def __init__(self, words: int = WORDS):
         self.words = words
-        self.cache = BoundedDict(_word_hash, cache)
+        self.cache = BoundedDict(_word_hash, 192)
 
     def all(self, text: str) -> np.ndarray:
         """The hash of every shingle, in text order, with repeats."""

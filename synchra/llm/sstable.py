@@ -4,13 +4,14 @@ A shard is one immutable file, written in ascending key order:
 
     data block*  | index | Bloom filter | footer
 
-* key: the id as 8 big-endian bytes with the sign bit flipped, so byte order is id order.  A
-  repeated id gets several entries of the same key, next to each other.
+* key: one byte 1 and the id as 8 big-endian bytes with the sign bit flipped, so byte order is id
+  order; a missing id is nine bytes 0 and comes first.  A repeated id gets several entries of the same
+  key, next to each other.
 * block entry: shared prefix length with the previous key (1 byte), rest length (1 byte), value
   length (4 bytes), rest of the key, value.  The value is the ids as little-endian integers of
   the width in the footer (2 bytes where every id of the shard fits, else 4).
 * a block ends at about ``BLOCK`` bytes, is compressed with zstd and followed by its crc32.
-* index: for each block the last key (8 bytes), offset (8), stored size (4), raw size (4).
+* index: for each block the last key (9 bytes), offset (8), stored size (4), raw size (4).
 * Bloom filter: number of probes (1 byte), then the bits.
 * footer: fixed size, with the places of index and filter, counts, width and a magic number.
 
@@ -21,7 +22,9 @@ following ones while they go on with the key).
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -29,36 +32,37 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch, id_text, kernel, mix64, shared_dir
+from .common import batch, id_text, kernel, mix64, shared_dir, stored
 from .ordering import in_id_order
 from .tokens import encoder
 
 MAGIC = b"SYNCSST1"
 FOOTER = struct.Struct("<QQQQQQB7x8s")  # index offset and size, filter offset and size, entries, ids, width, magic
 ENTRY = struct.Struct("<BBI")
-INDEX = struct.Struct("<8sQII")
+INDEX = struct.Struct("<9sQII")
 #: Production parameters.
 BLOCK = 64 << 10
 BITS_PER_KEY = 10
 PROBES = 7
 TEXT_PER_SHARD = 32 << 20
-NULL_KEY = -(1 << 63)
+NO_ID = bytes(9)
+MANIFEST = "uri string, first long, last long, entries long, n_ids long"
 
 
-def key_of(doc_id: int) -> bytes:
-    return struct.pack(">Q", (doc_id + (1 << 63)) & ((1 << 64) - 1))
+def key_of(doc_id: int | None) -> bytes:
+    return NO_ID if doc_id is None else struct.pack(">BQ", 1, (doc_id + (1 << 63)) & ((1 << 64) - 1))
 
 
-def id_of(key: bytes) -> int:
-    return struct.unpack(">Q", key)[0] - (1 << 63)
+def id_of(key: bytes) -> int | None:
+    return None if key == NO_ID else struct.unpack_from(">Q", key, 1)[0] - (1 << 63)
 
 
-def _probes(ids: np.ndarray, bits: int) -> np.ndarray:
-    """Bit numbers of each id: ``PROBES`` steps of double hashing."""
-    h = mix64(ids.astype(np.int64).view(np.uint64))
+def _probes(keys: np.ndarray, bits: int) -> np.ndarray:
+    """Bit numbers of keys, given by their last 8 bytes as integers: ``PROBES`` steps of double hashing."""
+    h = mix64(keys)
     step = mix64(h) | np.uint64(1)
     with np.errstate(over="ignore"):
         return (h[:, None] + step[:, None] * np.arange(PROBES, dtype=np.uint64)) % np.uint64(bits)
@@ -71,24 +75,24 @@ class ShardWriter:
         self.sink, self.width, self.limit = sink, width, block
         self.raw, self.last, self.at = bytearray(), b"", 0
         self.index: list[bytes] = []
-        self.ids: list[int] = []
+        self.keys = array("Q")  # without their first byte: a Bloom filter may mix up no id with the least one
         self.n_ids = 0
         self.packer = zstandard.ZstdCompressor(level=1)
 
-    def add(self, doc_id: int, value: bytes) -> None:
+    def add(self, doc_id: int | None, value: bytes) -> None:
         """``value``: ids as little-endian unsigned 32-bit integers."""
         key = key_of(doc_id)
-        if self.ids and doc_id < self.ids[-1]:
+        if key < self.last:
             raise ValueError("keys must not descend")
         if self.width == 2:
             value = np.frombuffer(value, "<u4").astype("<u2").tobytes()
         shared = 0
         if self.raw:
-            while shared < 8 and key[shared] == self.last[shared]:
+            while shared < 9 and key[shared] == self.last[shared]:
                 shared += 1
-        self.raw += ENTRY.pack(shared, 8 - shared, len(value)) + key[shared:] + value
+        self.raw += ENTRY.pack(shared, 9 - shared, len(value)) + key[shared:] + value
         self.last = key
-        self.ids.append(doc_id)
+        self.keys.append(int.from_bytes(key[1:], "big"))
         self.n_ids += len(value) // self.width
         if len(self.raw) >= self.limit:
             self._flush()
@@ -105,14 +109,15 @@ class ShardWriter:
     def finish(self) -> None:
         self._flush()
         index = b"".join(self.index)
-        bits = max(64, -(-len(self.ids) * BITS_PER_KEY // 64) * 64)
+        bits = max(64, -(-len(self.keys) * BITS_PER_KEY // 64) * 64)
         table = np.zeros(bits, np.uint8)
-        if self.ids:
-            table[_probes(np.array(self.ids, np.int64), bits).ravel()] = 1
+        keys = np.frombuffer(self.keys, np.uint64) if self.keys else np.zeros(0, np.uint64)
+        for i in range(0, len(keys), 1 << 14):
+            table[_probes(keys[i : i + (1 << 14)], bits).ravel()] = 1
         bloom = bytes([PROBES]) + np.packbits(table).tobytes()
         self.sink.write(index)
         self.sink.write(bloom)
-        self.sink.write(FOOTER.pack(self.at, len(index), self.at + len(index), len(bloom), len(self.ids), self.n_ids, self.width, MAGIC))
+        self.sink.write(FOOTER.pack(self.at, len(index), self.at + len(index), len(bloom), len(self.keys), self.n_ids, self.width, MAGIC))
 
 
 class Shard:
@@ -132,7 +137,7 @@ class Shard:
         self.source.seek(at)
         return self.source.read(n)
 
-    def _block(self, k: int) -> Iterator[tuple[int, bytes]]:
+    def _block(self, k: int) -> Iterator[tuple[int | None, bytes]]:
         _, at, n, raw = self.index[k]
         stored = self._read(at, n + 4)
         if zlib.crc32(stored[:n]) != struct.unpack("<I", stored[n:])[0]:
@@ -148,19 +153,23 @@ class Shard:
             i += size
             yield id_of(key), np.frombuffer(value, "<u2").astype("<u4").tobytes() if self.width == 2 else value
 
-    def __iter__(self) -> Iterator[tuple[int, bytes]]:
+    def __iter__(self) -> Iterator[tuple[int | None, bytes]]:
         for k in range(len(self.index)):
             yield from self._block(k)
 
-    def get(self, doc_id: int) -> list[bytes]:
+    def may_hold(self, doc_id: int | None) -> bool:
+        """What the Bloom filter says."""
+        return bool(self.bits[_probes(np.array([int.from_bytes(key_of(doc_id)[1:], "big")], np.uint64), len(self.bits))].all())
+
+    def get(self, doc_id: int | None) -> list[bytes]:
         """The values of a key, as 32-bit ids; empty if there is none."""
-        if not self.bits[_probes(np.array([doc_id], np.int64), len(self.bits))].all():
+        if not self.may_hold(doc_id):
             return []
         out, key = [], key_of(doc_id)
         for k in range(bisect_left(self.last_keys, key), len(self.index)):
             block = list(self._block(k))
             out += [v for d, v in block if d == doc_id]
-            if block[-1][0] > doc_id:
+            if self.last_keys[k] > key:
                 break
         return out
 
@@ -170,71 +179,78 @@ def open_shard(uri: str) -> Shard:
     return Shard(where.open_input_file(path), where.get_file_info(path).size)
 
 
-def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int | None = 0, text_per_shard: int = TEXT_PER_SHARD) -> list[dict]:
+def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int | None = 0, text_per_shard: int = TEXT_PER_SHARD) -> DataFrame:
     """Encode ``docs`` (``doc_id``, ``text``) and write shards into ``folder``, a URI all executors reach.
 
-    Documents are dealt by ranges of their id, so shards don't overlap and their order is the order of
-    ids.  A task writes under a name of its own and moves the finished file into place; only files of
-    tasks that ended well are in the returned manifest (one row per shard: ``uri``, ``first``, ``last``,
-    ``entries``, ``n_ids``), so retried and duplicate tasks leave at most unused files.
+    Documents are dealt by ranges of their id, and rows of one id over several shards where they are many;
+    the order of shards is the order of ids.  A task writes under a name of its own and moves the finished
+    file into place; only files of tasks that ended well are in the manifest, so retried and duplicate
+    tasks leave at most unused files.
+
+    Returns the manifest, one stored row per shard: ``uri, first, last`` (least and greatest id), ``entries``,
+    ``n_ids`` and ``base``, the ids in all shards before.  The sum runs over one row for 32 MB of text.
 
-    Null text counts as empty; a null id is stored as the least key; repeated rows stay repeated; an
-    empty table gives an empty manifest.
+    Null text counts as empty; a null id has the least key; repeated rows stay repeated; an empty table
+    gives an empty manifest.
     """
-    ordered = in_id_order(id_text(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(NULL_KEY))), text_per_shard)
+    schema = pa.schema([("uri", pa.string()), ("first", pa.int64()), ("last", pa.int64()), ("entries", pa.int64()), ("n_ids", pa.int64())])
 
     def write(batches):
-        import uuid
-
         enc = encoder(tokenizer)
         width = 2 if enc.tokenizer.get_vocab_size() <= 1 << 16 and (end_id or 0) < 1 << 16 else 4
         tail = b"" if end_id is None else struct.pack("<I", end_id)
-        writer = first = None
+        writer = None
         where, base = fs.FileSystem.from_uri(folder)
         name = uuid.uuid4().hex
         for b in batches:
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
                 if writer is None:
                     where.create_dir(base, recursive=True)
                     sink = where.open_output_stream(f"{base}/{name}.part", compression=None)
                     writer, first = ShardWriter(sink, width), doc_id
-                writer.add(doc_id, enc.encode(text) + tail)
+                writer.add(doc_id, enc.encode(text.as_py()) + tail)
         if writer:
-            last = writer.ids[-1]
             writer.finish()
             sink.close()
             where.move(f"{base}/{name}.part", f"{base}/{name}.sst")
-            yield batch(pa.schema([("uri", pa.string()), ("first", pa.int64()), ("last", pa.int64()), ("entries", pa.int64()), ("n_ids", pa.int64())]), [f"{folder}/{name}.sst"], [first], [last], [len(writer.ids)], [writer.n_ids])
+            yield batch(schema, [f"{folder}/{name}.sst"], [first], [id_of(writer.last)], [len(writer.keys)], [writer.n_ids])
+
+    made = stored(kernel(in_id_order(id_text(docs), text_per_shard), write, MANIFEST))
+    before = Window.orderBy(F.asc_nulls_first("first"), F.asc_nulls_first("last"), "uri").rowsBetween(Window.unboundedPreceding, -1)
+    return stored(made.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0))))
+
 
-    # One row per shard, some hundred bytes: the driver's copy is a file listing, not data.
-    rows = kernel(ordered, write, "uri string, first long, last long, entries long, n_ids long").collect()
-    return sorted((r.asDict() for r in rows), key=lambda r: (r["first"], r["last"]))
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, int, bytes]]:
+    """Id, start and ids (32-bit) of every entry of the shards in ``uri, base`` rows."""
+    for b in batches:
+        for uri, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for doc_id, value in open_shard(uri):
+                yield doc_id, at, value
+                at += len(value) // 4
 
 
-def read_shards(spark: SparkSession, manifest: list[dict]) -> DataFrame:
+def _listing(manifest: DataFrame) -> DataFrame:
+    """``uri, base``, few shards to a task."""
+    n = manifest.count()
+    return manifest.select("uri", "base").repartition(max(1, min(n, 1 << 16)), "uri")
+
+
+def read_shards(manifest: DataFrame) -> DataFrame:
     """Rows of shards: ``doc_id, start, ids`` (ids as little-endian 32-bit binary, start: ids before it)."""
-    starts, at = [], 0
-    for r in manifest:
-        starts.append((r["uri"], at))
-        at += r["n_ids"]
-    listing = spark.createDataFrame(starts, "uri string, base long").repartition(max(1, len(starts)))
+    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("ids", pa.binary())])
 
     def read(batches):
-        schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("ids", pa.binary())])
-        for b in batches:
-            for uri, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+        rows, size = [], 0
+        for row in _rows(batches):
+            rows.append(row)
+            size += len(row[2])
+            if size > 1 << 20:
+                yield batch(schema, *map(list, zip(*rows, strict=True)))
                 rows, size = [], 0
-                for doc_id, value in open_shard(uri):
-                    rows.append((doc_id, at, value))
-                    at += len(value) // 4
-                    size += len(value)
-                    if size > 4 << 20:
-                        yield batch(schema, *map(list, zip(*rows, strict=True)))
-                        rows, size = [], 0
-                if rows:
-                    yield batch(schema, *map(list, zip(*rows, strict=True)))
+        if rows:
+            yield batch(schema, *map(list, zip(*rows, strict=True)))
 
-    return kernel(listing, read, "doc_id long, start long, ids binary").withColumn("doc_id", F.when(F.col("doc_id") != NULL_KEY, F.col("doc_id")))
+    return kernel(_listing(manifest), read, "doc_id long, start long, ids binary")
 
 
 def token_table(docs: DataFrame, tokenizer: str) -> DataFrame:
@@ -242,13 +258,17 @@ def token_table(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     Columns: ``doc_id, start, n_tokens, ids_crc32``; one row per input row.
     """
-    spark = docs.sparkSession
-    manifest = write_shards(docs, tokenizer, shared_dir(spark))
+    manifest = write_shards(docs, tokenizer, shared_dir(docs.sparkSession))
+    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
     def digest(batches):
-        schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
-        for b in batches:
-            ids = b.column("ids").to_pylist()
-            yield batch(schema, b.column("doc_id"), b.column("start"), [len(x) // 4 for x in ids], [zlib.crc32(x) for x in ids])
-
-    return kernel(read_shards(spark, manifest), digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+        rows = []
+        for doc_id, at, ids in _rows(batches):
+            rows.append((doc_id, at, len(ids) // 4, zlib.crc32(ids)))
+            if len(rows) == 4096:
+                yield batch(schema, *map(list, zip(*rows, strict=True)))
+                rows = []
+        if rows:
+            yield batch(schema, *map(list, zip(*rows, strict=True)))
+
+    return kernel(_listing(manifest), digest, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -48,7 +48,7 @@ def byte_alphabet() -> dict[int, str]:
 class Encoder:
     """Ids of a text as little-endian unsigned 32-bit integers, equal to the library's."""
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -64,9 +64,9 @@ class Encoder:
         self.special = re.compile("|".join(added)) if added else None
         self.model = self.tokenizer.model
         self.alphabet = byte_alphabet()
-        self.pieces = BoundedDict(self._piece, limit)
-        self.words = BoundedDict(self._word, limit)
-        self.spaced = BoundedDict(self._spaced, limit)
+        self.pieces = BoundedDict(self._piece)
+        self.words = BoundedDict(self._word)
+        self.spaced = BoundedDict(self._spaced)
 
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()

@@ -63,7 +63,7 @@ class Transducer:
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         #: Fixed value: the file's split pattern.
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-        self.words = BoundedDict(self._short, CACHED_WORDS)
+        self.words = BoundedDict(self._short)
         self.strings = {i: s.encode() for s, i in self.vocab.items()} | {i: s.encode() for s, i in self.special.items()}
 
     # encoding

@@ -119,7 +119,7 @@ def test_shards(spark, docs, texts, empty, library, tmp_path):
         want[i] = pack32(ids)
         assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (at, len(ids), zlib.crc32(want[i]))
         at += len(ids)
-    manifest = sstable.write_shards(docs, path, f"file://{tmp_path}/s", text_per_shard=4000)
+    manifest = [r.asDict() for r in sstable.write_shards(docs, path, f"file://{tmp_path}/s", text_per_shard=4000).orderBy("first").collect()]
     assert len(manifest) > 2 and all(a["last"] < b["first"] for a, b in zip(manifest, manifest[1:], strict=False))
     misses = 0
     for m in manifest:
@@ -127,10 +127,20 @@ def test_shards(spark, docs, texts, empty, library, tmp_path):
         inside = [i for i in want if m["first"] <= i <= m["last"]]
         assert all(shard.get(i) == [want[i]] for i in inside)
         assert not any(shard.get(i) for i in want if i not in inside)
-        misses += sum(shard.bits[sstable._probes(np.array([i]), len(shard.bits))].all() for i in range(100_000, 100_200))
+        misses += sum(map(shard.may_hold, range(100_000, 100_200)))
     assert misses <= 20 * len(manifest)
     assert sstable.token_table(empty, path).count() == 0
     edge_cases(spark, lambda d: sstable.token_table(d, path))
+    many = spark.createDataFrame([(i, f"text {k} " * 20) for k in range(60) for i in (None, 7, -(1 << 63))], "doc_id long, text string")
+    shards = sstable.write_shards(many, path, f"file://{tmp_path}/t", text_per_shard=1000)
+    assert shards.where("first = 7 and last = 7").count() > 1
+    got, at = sorted(sstable.token_table(many, path).collect(), key=lambda r: r.start), 0
+    assert [r.doc_id for r in got] == [None] * 60 + [-(1 << 63)] * 60 + [7] * 60
+    for r in got:
+        assert r.start == at
+        at += r.n_tokens
+    back = sstable.read_shards(shards).collect()
+    assert collections.Counter((r.doc_id, zlib.crc32(r.ids)) for r in back) == collections.Counter((r.doc_id, r.ids_crc32) for r in got)
 
 
 def test_a_damaged_block_is_noticed(tmp_path):
