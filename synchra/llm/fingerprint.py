@@ -1,12 +1,12 @@
 """Threshold-scaled document sketches.
 
 A sketch keeps every distinct shingle hash below ``2**64 / SCALE``: a fixed fraction of all hashes
-rather than a fixed number.  Sketches of parts merge by union, and between documents of any two
-lengths ``|A and B| / |A|`` estimates containment, ``|A and B| / |A or B|`` likeness, without bias.
+rather than a fixed number.  Where a short text has none below, it keeps its least hash, so equal texts
+can always be told from others.  The sketch of a union is the union of sketches, cut by the same rule, so
+``merge`` is exact, and between documents of any two lengths ``|A and B| / |A|`` estimates
+containment, ``|A and B| / |A or B|`` likeness.
 
-Text form of a fingerprint: ``<distinct shingles>:<hash of all shingles>:<kept hashes, 16 hex digits
-each, ascending>``.  The hash of all shingles tells equal shingle sets from unequal ones where a short
-text keeps no hash.
+Text form of a fingerprint: ``<scale>:<kept hashes, 16 hex digits each, ascending>``.
 """
 
 from __future__ import annotations
@@ -15,62 +15,55 @@ import hashlib
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
 
-from .common import batch, id_text, kernel, text_partitions
+from .common import batch, id_text, kernel
 from .shingles import Shingler
 
 #: One hash in this many is kept.
 SCALE = 4
 TEXT_PER_PARTITION = 16 << 20
-NULL_KEY = -(1 << 63)
+MOST_RANGES = 1 << 16
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, eq=False)
 class Sketch:
-    shingles: int
-    whole: int
     kept: np.ndarray  # sorted distinct
+    scale: int = SCALE
 
     @staticmethod
-    def of(shingles: np.ndarray, scale: int = SCALE) -> Sketch:
+    def of(hashes: np.ndarray, scale: int = SCALE) -> Sketch:
         """From sorted distinct shingle hashes."""
-        limit = np.searchsorted(shingles, np.uint64((1 << 64) // scale - 1), "right")
-        return Sketch(len(shingles), xxhash.xxh3_64_intdigest(shingles.tobytes()), shingles[:limit])
+        limit = int(np.searchsorted(hashes, np.uint64((1 << 64) // scale - 1), "right"))
+        return Sketch(hashes[: max(limit, 1)], scale)
 
     @staticmethod
     def parse(text: str) -> Sketch:
-        n, whole, kept = text.split(":")
-        return Sketch(int(n), int(whole, 16), np.frombuffer(bytes.fromhex(kept), ">u8").astype(np.uint64))
+        scale, kept = text.split(":")
+        return Sketch(np.frombuffer(bytes.fromhex(kept), ">u8").astype(np.uint64), int(scale))
 
     def __str__(self) -> str:
-        return f"{self.shingles}:{self.whole:016x}:{self.kept.astype('>u8').tobytes().hex()}"
+        return f"{self.scale}:{self.kept.astype('>u8').tobytes().hex()}"
 
     def _common(self, other: Sketch) -> int:
         return len(np.intersect1d(self.kept, other.kept, assume_unique=True))
 
+    def merge(self, other: Sketch) -> Sketch:
+        """The sketch of both documents' shingles together, the same as if made from all of them."""
+        return Sketch.of(np.union1d(self.kept, other.kept), self.scale)
+
     def likeness(self, other: Sketch) -> float:
         """Estimated Jaccard similarity, 0 to 1; equal shingle sets give 1, also two empty ones."""
-        if self.whole == other.whole and self.shingles == other.shingles:
+        if not len(self.kept) and not len(other.kept):
             return 1.0
-        common = self._common(other)
-        union = len(self.kept) + len(other.kept) - common
-        return common / union if union else 0.0
+        return self._common(other) / len(np.union1d(self.kept, other.kept))
 
     def containment(self, other: Sketch) -> float:
-        """Estimated share of this document's shingles that the other has."""
-        if self.whole == other.whole and self.shingles == other.shingles:
-            return 1.0
-        return self._common(other) / len(self.kept) if len(self.kept) else 0.0
-
-    def merge(self, other: Sketch, shingles: int | None = None) -> Sketch:
-        """The sketch of both documents together; the number of shingles is estimated unless given."""
-        kept = np.union1d(self.kept, other.kept)
-        return Sketch(len(kept) * SCALE if shingles is None else shingles, self.whole ^ other.whole, kept)
+        """Estimated share of this document's shingles that the other has; 1 for an empty document."""
+        return self._common(other) / len(self.kept) if len(self.kept) else 1.0
 
 
 def edited(text: str, following: str) -> str:
@@ -79,31 +72,68 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def with_next(docs: DataFrame, per_partition: int = TEXT_PER_PARTITION) -> DataFrame:
-    """``doc_id, text, part, own``, dealt so that each document stands before the next one.
+def _cuts(keys: DataFrame, per_range: int) -> list[tuple[int | None, int]]:
+    """Where ranges of about ``per_range`` bytes begin, as ``doc_id, tie``, in order; from ids and sizes alone, each partition by itself."""
+    schema = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64())])
 
-    Ids are cut into ranges at actual ids, taken from percentiles over all rows; range ``p`` is
-    partition ``p``'s.  The documents at a range's first id also go to the range before (``own`` false),
-    those at the least id to the last range, so that every document meets its successor.
-    """
-    docs = id_text(docs).withColumn("key", F.coalesce("doc_id", F.lit(NULL_KEY)))
-    n = text_partitions(docs, per_partition)
-    marks = docs.agg(F.min("key").alias("least"), F.percentile_approx("key", [i / n for i in range(1, n)] or [0.5], F.lit(10 * n)).alias("cuts")).first()
-    least = marks["least"]
-    cuts = np.array(sorted({c for c in (marks["cuts"] or []) if c > least}) if n > 1 else [], np.int64)
-    last = len(cuts)
+    def run(batches):
+        room, last = per_range, None
+        for b in batches:
+            for doc_id, tie, size in zip(*(b.column(c).to_pylist() for c in ("doc_id", "tie", "size")), strict=True):
+                if room >= per_range and (doc_id, tie) != last:
+                    yield batch(schema, [doc_id], [tie])
+                    room = 0
+                room += size
+                last = doc_id, tie
 
-    @F.pandas_udf(ArrayType(IntegerType()))
-    def parts(key):
-        import pandas as pd
+    found = {(r[0], r[1]) for r in kernel(keys, run, "doc_id long, tie long").collect()}
+    return sorted(found, key=lambda c: (c[0] is not None, c[0] or 0, c[1]))
 
-        own = np.searchsorted(cuts, key.to_numpy(), "right")
-        first = np.isin(key.to_numpy(), cuts)
 
-        return pd.Series([[p] + [p - 1] * f + [last] * (k == least) for p, f, k in zip(own.tolist(), first.tolist(), key.tolist(), strict=True)])
+def with_next(docs: DataFrame, per_partition: int = TEXT_PER_PARTITION) -> DataFrame:
+    """``doc_id, text, part, own``, dealt so that each document stands before the next one.
 
-    dealt = docs.select("doc_id", "key", "text", F.posexplode(parts("key")).alias("pos", "part"))
-    return dealt.withColumn("own", F.col("pos") == 0).repartition(last + 1, "part").sortWithinPartitions("part", F.col("own").desc(), "key", "text").select("doc_id", "text", "part", "own")
+    The order is by id (null first), then by a hash of the text.  Ranges hold about ``per_partition`` bytes of
+    text and end within an id's rows where these are many; range ``p`` is partition ``p``'s.
+    One of the documents at a range's beginning also goes to the range before (``own`` false), one at
+    the very beginning to the last range, so that every document meets its successor.  There are
+    ``MOST_RANGES`` ranges at most, so the table of their beginnings stays below 2 MB; beyond that, ranges
+    grow.  A range is streamed, never held, so its size is no matter of memory.
+    """
+    docs = id_text(docs).withColumn("tie", F.xxhash64("text"))
+    size = F.octet_length("text").cast("long")
+    total = docs.agg(F.sum(size)).first()[0] or 0
+    per = max(per_partition, -(-int(total) // MOST_RANGES))
+    n = max(1, int(total) // (64 * per))
+    keys = docs.select("doc_id", "tie", size.alias("size"))
+    cuts = _cuts(keys.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie"), per)
+    first = {c: p for p, c in enumerate(cuts)}
+    real = [c for c in cuts if c[0] is not None]
+    ids, ties = np.array([c[0] for c in real], np.int64), np.array([c[1] for c in real], np.int64)
+    null_ties = np.array([c[1] for c in cuts if c[0] is None], np.int64)
+    last = max(0, len(cuts) - 1)
+
+    @F.pandas_udf("part int, before int")
+    def parts(doc_id: pd.Series, tie: pd.Series) -> pd.DataFrame:
+        t, null = tie.to_numpy(), doc_id.isna().to_numpy()
+        part = np.searchsorted(null_ties, t, "right") - 1
+        if not null.all():
+            k = doc_id.fillna(0).astype("int64").to_numpy()
+            low, high = np.searchsorted(ids, k, "left"), np.searchsorted(ids, k, "right")
+            at = low.copy()
+            for x in np.flatnonzero(low < high).tolist():
+                at[x] += np.searchsorted(ties[low[x] : high[x]], t[x], "right")
+            part = np.where(null, part, at - 1 + len(null_ties))
+        begins = [first.get((None if n else int(i), int(x))) for i, n, x in zip(doc_id.fillna(0), null, t, strict=True)]
+        before = [None if p is None else (p - 1 if p else last) for p in begins]
+        return pd.DataFrame({"part": part.astype(np.int32), "before": pd.array(before, "Int32")})
+
+    dealt = docs.withColumn("at", parts("doc_id", "tie"))
+    # A repeated beginning is sent ahead by each of its rows, and only one of them is used.
+    twice = F.when(F.col("at.before").isNull(), F.array(F.struct(F.col("at.part").alias("part"), F.lit(True).alias("own"))))
+    twice = twice.otherwise(F.array(F.struct(F.col("at.part").alias("part"), F.lit(True).alias("own")), F.struct(F.col("at.before").alias("part"), F.lit(False).alias("own"))))
+    dealt = dealt.select("doc_id", "tie", "text", F.explode(twice).alias("to")).select("doc_id", "tie", "text", "to.part", "to.own")
+    return dealt.repartitionById(last + 1, F.col("part")).sortWithinPartitions("part", F.col("own").desc(), "doc_id", "tie").select("doc_id", "text", "part", "own")
 
 
 def fingerprints(docs: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -112,7 +142,7 @@ def fingerprints(docs: DataFrame, scale: int = SCALE) -> DataFrame:
     Columns: ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next,
     holds_edited, held_by_next`` (likeness to the edited text and to the next document; containment of
     the edited text in this one and of this one in the next).  Null text counts as empty; a null
-    id comes first in the order; rows of one id follow each other by text; an empty table gives none.
+    id comes first in the order; rows of one id follow each other by a hash of the text; an empty table gives none.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("holds_edited", pa.float64()), ("held_by_next", pa.float64())])
 
