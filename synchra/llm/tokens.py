@@ -18,8 +18,9 @@ import numpy as np
 
 from .common import BoundedDict
 
-#: The fast path takes these code points only; all others leave the text to the library.
-_PLAIN = re.compile(r"[^\t-\r\x20-\x7e\xa0-įı-ɏ]")
+_LATIN = range(0xA0, 0x250)
+#: The fast path takes printable ASCII, white space, and Latin letters and marks whose lower-case form is one such code point; all others leave the text to the library.
+_PLAIN = re.compile(rf"[^\t-\r\x20-\x7e{re.escape(''.join(c for c in map(chr, _LATIN) if len(c.lower()) == 1 and ord(c.lower()) in _LATIN))}]")
 
 
 def _members(kind: str) -> str:
