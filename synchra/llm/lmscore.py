@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch, id_text, kernel, mix64, shared_dir, stored
-from .substring_dedup import CHUNK, NULL_KEY, _Chunk, _runs_by, _write_chunk
+from .substring_dedup import BUCKET, CHUNK, _Chunk, _runs_by, _write_chunk
 
 HEAD = 24
 TAIL = 24
@@ -44,8 +44,8 @@ BLOCKS = 16
 END = b"\n"  # no word has this byte
 
 
-def held_out(doc_id: int) -> bool:
-    return doc_id != NULL_KEY and zlib.crc32(str(doc_id).encode()) % 7 == 2
+def held_out(doc_id: int | None) -> bool:
+    return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 7 == 2
 
 
 def tokens(raw: bytes) -> list[bytes]:
@@ -221,7 +221,7 @@ def _observed(chunks: DataFrame, vocab: Vocabulary) -> DataFrame:
             for uri in b.column("chunk").to_pylist():
                 chunk = _Chunk(uri)
                 numbers, words = _words_of(chunk)
-                numbers = [n for d, n in zip(chunk.ids.tolist(), numbers, strict=True) if not held_out(d)]
+                numbers = [n for d, n in zip(chunk.given_ids(), numbers, strict=True) if not held_out(d)]
                 if not numbers:
                     continue
                 classes = np.fromiter(map(vocab.class_of, words), np.int64, len(words))
@@ -310,9 +310,9 @@ def scores(docs: DataFrame) -> DataFrame:
     Null text counts as empty (one token, the end); a null id isn't held out; an empty table gives none.
     """
     spark = docs.sparkSession
-    whole = id_text(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(NULL_KEY)))
+    whole = id_text(docs)
     total = whole.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(1, -(-int(total) // CHUNK))
+    buckets = max(1, -(-int(total) // BUCKET))
     words = stored(_chunk_words(whole, shared_dir(spark), buckets))
     chunks = stored(words.select("chunk").distinct())
     n = max(1, chunks.count())
@@ -351,8 +351,8 @@ def scores(docs: DataFrame) -> DataFrame:
             word_logs = np.add.reduceat(np.concatenate([logs[x] for x in numbers]), starts)
             n_known = np.add.reduceat(np.concatenate([known[x] for x in numbers]).astype(np.int64), starts)
             model = word_logs + np.add.reduceat(class_logs, starts)
-            ids = chunk.ids.tolist()
-            yield batch(schema, [None if d == NULL_KEY else d for d in ids], [held_out(d) for d in ids], sizes, n_known, [vocab.tokens] * len(ids), word_logs - sizes * base_log, model)
+            ids = chunk.given_ids()
+            yield batch(schema, ids, [held_out(d) for d in ids], sizes, n_known, [vocab.tokens] * len(ids), word_logs - sizes * base_log, model)
 
     answers = counted.where("chunk is not null").select("chunk", "bucket", "counts").repartition(n, "chunk").sortWithinPartitions("chunk")
     return kernel(answers, run, names)

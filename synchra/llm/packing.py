@@ -179,14 +179,15 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPAC
     """
     cut = stored(pieces(docs, tokenizer, end_id, capacity))
     n = max(1, cut.count() // PIECES_PER_CHUNK)
-    cut = cut.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int"))
+    cut = cut.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "ids_crc32"), F.lit(n)).cast("int"))
     # At most one row per chunk and length, and the histogram has at most `capacity` rows.
     counts = stored(cut.groupBy("chunk", "length").agg(F.count("*").alias("n")))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     made = plan(histogram, capacity)
     before = Window.partitionBy("length").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("chunk", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    mine = Window.partitionBy("chunk", "length").orderBy("doc_id", "piece")
+    # A total order but for equal pieces, so a repeated task deals the same places.
+    mine = Window.partitionBy("chunk", "length").orderBy("doc_id", "piece", "start", "ids_crc32")
     ranked = cut.withColumn("within", F.row_number().over(mine) - 1).join(bases, ["chunk", "length"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("within") + F.col("base")).alias("rank"))
 

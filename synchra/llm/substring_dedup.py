@@ -39,11 +39,12 @@ from .suffixarray import suffix_array
 
 LENGTH = 50
 GRAM = 20
-#: Bytes of text in a chunk file, of a step within it, and of a suffix array's text (a single anchor's may be longer).
-CHUNK = 8 << 20
+#: Bytes of text in a chunk file, of text for each bucket of anchors, of a step within a chunk, and of a suffix array's text (a single anchor's may be longer).
+CHUNK = 4 << 20
+BUCKET = 8 << 20
 STEP = 1 << 20
 ARRAY = 64 << 10
-NULL_KEY = -(1 << 63)
+LEAST_ID = -(1 << 63)  # where a missing id stands in the order
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -115,7 +116,7 @@ def _write_chunk(folder: str, ids: list, data: bytes, starts: np.ndarray, carrie
     name = uuid.uuid4().hex
     with where.open_output_stream(f"{base}/{name}", compression=None) as f:
         extra = zstandard.ZstdCompressor(level=1).compress(json.dumps(carried).encode())
-        f.write(struct.pack("<QQQ", len(ids), len(data), len(extra)) + np.array(ids, np.int64).tobytes() + starts.tobytes() + extra)
+        f.write(struct.pack("<QQQ", len(ids), len(data), len(extra)) + np.array([LEAST_ID if d is None else d for d in ids], np.int64).tobytes() + starts.tobytes() + bytes(d is None for d in ids) + extra)
         f.write(zstandard.ZstdCompressor(level=3).compress(data))
     return f"{folder}/{name}"
 
@@ -129,10 +130,15 @@ class _Chunk:
         self.ids = np.frombuffer(raw, np.int64, n, 24)
         self.starts = np.frombuffer(raw, np.int64, n + 1, 24 + 8 * n)
         at = 32 + 16 * n
+        self.missing = raw[at : at + n]
+        at += n
         self.packed = raw[at : at + extra]
         self.bytes = zstandard.ZstdDecompressor().decompress(raw[at + extra :], max_output_size=max(size, 1))
         self.data = np.frombuffer(self.bytes, np.uint8)
 
+    def given_ids(self) -> list[int | None]:
+        return [None if gone else d for d, gone in zip(self.ids.tolist(), self.missing, strict=True)]
+
     def carried(self) -> list[list]:
         """The values that go along with each document."""
         return json.loads(zstandard.ZstdDecompressor().decompress(self.packed))
@@ -426,14 +432,14 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False, length: int = LENGT
     ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``, with ``kept`` (binary, the bytes left; with
     ``as_text`` a string, without code points cut in part) on request, and the string columns named in ``carry``, each row's own.
     All strings are judged on the input; matches don't cross documents; rows of one id don't remove each other's
-    bytes.  Null text counts as empty; a null id counts as the least; an empty table gives none.
+    bytes.  Null text counts as empty; a null id counts as the least possible one; an empty table gives none.
     """
     spark = docs.sparkSession
     if length != LENGTH:
         raise ValueError("anchors are laid out for strings of 50 bytes")
-    whole = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *carry)
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *carry)
     total = whole.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(1, -(-int(total) // CHUNK))
+    buckets = max(1, -(-int(total) // BUCKET))
     anchors = stored(_cut_chunks(whole, shared_dir(spark), buckets, carry))
     chunks = stored(anchors.select("chunk").distinct())
     n = max(1, chunks.count())
@@ -448,13 +454,12 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False, length: int = LENGT
         for uri, rows in _runs_by(batches, "chunk"):
             chunk = _Chunk(uri)
             gone = _removed(chunk, [zstandard.ZstdDecompressor().decompressobj().decompress(r["runs"]) for r in rows if r["runs"] is not None])
-            out, carried = [], chunk.carried()
+            out, carried, ids = [], chunk.carried(), chunk.given_ids()
             for k, (i, j) in enumerate(zip(chunk.starts[:-1].tolist(), chunk.starts[1:].tolist(), strict=True)):
                 mine = gone[i:j]
                 left = chunk.data[i:j][~mine].tobytes() if mine.any() else chunk.bytes[i:j]
                 spans = int(mine[:1].sum() + np.count_nonzero(mine[1:] & ~mine[:-1]))
-                doc_id = int(chunk.ids[k])
-                out.append((None if doc_id == NULL_KEY else doc_id, j - i, j - i - len(left), spans, hashlib.sha256(left).hexdigest(), *[left.decode("utf-8", "ignore") if as_text else left] * keep_text, *carried[k]))
+                out.append((ids[k], j - i, j - i - len(left), spans, hashlib.sha256(left).hexdigest(), *[left.decode("utf-8", "ignore") if as_text else left] * keep_text, *carried[k]))
                 if len(out) == 512:
                     yield batch(schema, *map(list, zip(*out, strict=True)))
                     out = []

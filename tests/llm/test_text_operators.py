@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from synchra.llm import fingerprint, jaccard, langid, lmscore, ogg, packing, quality, sstable, substring_dedup, transducer
 from synchra.llm.queries import vocabulary
@@ -207,21 +208,76 @@ def test_transducer(spark, docs, texts, empty, library):
     edge_cases(spark, lambda d: transducer.encode_decode(d, path))
 
 
-def test_lookahead_bounds_every_change():
-    """For small random merge lists, tokens followed by ``lookahead`` symbols never change with what comes after."""
-    rng = random.Random(2)
-    for _ in range(60):
+def small_transducer(merges):
+    t = transducer.Transducer.__new__(transducer.Transducer)
+    t.ranks, t.suffix, t.need = {m: i for i, m in enumerate(merges)}, "", transducer.lookaheads(merges)
+    return t
+
+
+def test_stable_tokens_never_change():
+    """For small random merge lists, tokens emitted early are those of the whole word."""
+    rng, early = random.Random(2), 0
+    for _ in range(150):
         tokens, merges = ["a", "b", "c"], []
-        for _ in range(8):
+        for _ in range(10):
             u, v = rng.choice(tokens), rng.choice(tokens)
             if (u, v) not in merges and len(u + v) < 7 and u + v not in tokens:
                 merges.append((u, v))
                 tokens.append(u + v)
-        t = transducer.Transducer.__new__(transducer.Transducer)
-        t.ranks, t.suffix, t.lookahead = {m: i for i, m in enumerate(merges)}, "", transducer.lookahead(merges)
-        for _ in range(30):
-            text = [rng.choice("abc") for _ in range(rng.randint(0, 400))]
-            assert list(t.stream(text)) == t.merge(text)
+        t = small_transducer(merges)
+        for _ in range(20):
+            text = [rng.choice("abc") for _ in range(rng.randint(0, 300))]
+            w, out = transducer.Word(t), []
+            for k, c in enumerate(text):
+                w.held.append(c)
+                if k % 7 == 0:
+                    out += w.stable()
+            early += len(out)
+            assert out + t.merge(w.held) == t.merge(text)
+            assert len(w.held) <= max(t.need.values(), default=0) + 14
+    assert early > 100_000
+
+
+def test_long_runs_without_white_space(library):
+    """Pieces, open pre-tokens, endings and marks across steps; equal to the library on all of them."""
+    t, lib, rng = transducer.transducer(vocabulary("word_bpe_49k.json")), library["word_bpe_49k"], random.Random(3)
+    kinds = ["abcdefgh" * 3, "'sr", "'", "lve", "éÀİ", "e\u0301\u0323", "1２Ⅷ", "!?-", "漢字", "\u1100\u1161\u11a8", "ß", "\u0301", "<|endoftext|>", "the", "ation"]
+    for n in (10, 3000, 30_000):
+        text = "".join(rng.choice(kinds) for _ in range(n))
+        for x in (text, text[: n // 2] + " " + text, "'" * n, "a" * n + "'", text.replace("'", "\t")):
+            assert np.frombuffer(t.encode(x), "<u4").tolist() == lib.encode(x, add_special_tokens=False).ids
+
+
+def test_plain_texts_equal_the_library(library):
+    """The whole range of code points that is cut here, in random texts."""
+    from synchra.llm.tokens import encoder
+
+    rng = random.Random(4)
+    span = [*map(chr, range(0x20, 0x7F)), *map(chr, range(0xA0, 0x130)), *map(chr, range(0x131, 0x250)), " ", "\n", "\t", "'", "s", "t", "a"]
+    enc = {n: encoder(vocabulary(f"{n}.json")) for n in library}
+    word = transducer.transducer(vocabulary("word_bpe_49k.json"))
+    for k in range(3000):
+        text = "".join(rng.choices(span, k=rng.randint(1, 40)) if k % 2 else rng.choices(" \n'stare12.,é", k=rng.randint(1, 60)))
+        for n, lib in library.items():
+            assert np.frombuffer(enc[n].encode(text), "<u4").tolist() == lib.encode(text, add_special_tokens=False).ids, text
+        assert word.encode(text) == enc["word_bpe_49k"].encode(text)
+
+
+def test_transducer_memory_is_flat(library):
+    import tracemalloc
+
+    t = transducer.transducer(vocabulary("word_bpe_49k.json"))
+    peaks = {}
+    for spaced in (True, False):
+        for n in (1, 8):
+            text = ("word " if spaced else "word-") * (n * 20_000)
+            tracemalloc.start()
+            d = transducer.Decoder(t)
+            for ids in t.encode_pieces(text):
+                d.push(np.frombuffer(ids, "<u4").tolist())
+            peaks[spaced, n] = tracemalloc.get_traced_memory()[1]
+            tracemalloc.stop()
+    assert peaks[True, 8] < 1.2 * peaks[True, 1] + 100_000 and peaks[False, 8] < 1.2 * peaks[False, 1] + 100_000, peaks
 
 
 def test_language_model(spark, docs, texts, empty):
@@ -252,14 +308,17 @@ def test_language(spark, empty):
     rng = random.Random(3)
     parts = {"en": ["the", "thing", "is", "with", "other"], "de": ["der", "schön", "nicht", "und", "über"], "es": ["niño", "que", "los", "ción", "ella"]}
     data = [(i, " ".join(rng.choice(parts[g]) for _ in range(rng.randint(3, 40))), g) for i, g in enumerate(rng.choices(list(parts), k=150))]
-    data += [(1000, None, "en"), (1001, "12 !!", "en"), (1002, "", None), (1003, "the other thing", None), (1004, "漢字" * 200, None)]
+    data += [(1000, None, "en"), (1001, "12 !!", "en"), (1002, "", None), (1003, "the other thing", None), (1004, "漢字" * 200, None), (1005, "½ ² ③ Ⅷ ٣", None)]
     d = spark.createDataFrame(data, "doc_id long, text string, lang string")
     got = rows(langid.report(d))
     assert np.mean([got[i].lang_pred == g for i, _, g in data[:150] if got[i].held_out]) > 0.95
     assert all(got[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2) for i in got)
-    assert [got[i].lang_pred for i in (1000, 1001, 1002, 1003)] == ["und", "und", "und", "en"]
+    assert [got[i].lang_pred for i in (1000, 1001, 1002, 1003, 1005)] == ["und", "und", "und", "en", "und"]
     assert all(0 <= r.score <= 1 for r in got.values())
     assert langid.report(empty).count() == 0
+    edge_cases(spark, lambda x: langid.report(x.withColumn("lang", F.lit("en"))))
+    clash = d.selectExpr("doc_id", "text", "'x' as lang_pred", "2 as score")
+    assert {r.doc_id: r.lang_pred for r in langid.predict(clash, langid.learn(d)).collect() if r.doc_id >= 1000} | {1004: None} == {1000: "und", 1001: "und", 1002: "und", 1003: "en", 1004: None, 1005: "und"}
     many = langid.Profiler()
     text = "".join(chr(0x4E00 + k) for k in range(300))
     direct = sum(many.table[many._row(ord(a) << 42 | ord(b) << 21 | ord(c))] for a, b, c in zip(f" {text}", text, f"{text[1:]} ", strict=False))
@@ -438,6 +497,8 @@ def test_substring_dedup(spark, docs, texts, empty, monkeypatch):
         assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, bytes(got[i].kept)) == (len(b), int(gone.sum()), spans, kept)
         assert got[i].kept_sha256 == hashlib.sha256(kept).hexdigest()
     assert substring_dedup.remove_repeats(empty).count() == 0
+    least = spark.createDataFrame([(None, "x" * 60), (-(1 << 63), "x" * 60), (0, "x" * 60)], "doc_id long, text string")
+    assert sorted(((r.doc_id, r.n_removed) for r in substring_dedup.remove_repeats(least).collect()), key=str) == [(-(1 << 63), 0), (0, 60), (None, 0)]
     edge_cases(spark, substring_dedup.remove_repeats)
 
 
@@ -496,3 +557,27 @@ def test_near_duplicates_at_a_lower_threshold(spark):
     got = rows(jaccard.near_duplicates(spark.createDataFrame(list(data.items()), "doc_id long, text string"), 0.5))
     assert {i: r.n_links for i, r in got.items()} == {i: len(near[i]) for i in data} == dict.fromkeys(data, 1)
     assert {i: r.class_id for i, r in got.items()} == root
+
+
+def test_workers_give_memory_back(spark):
+    """Over many partitions, what a reused worker holds between them doesn't grow."""
+    import pyarrow as pa
+
+    from synchra.llm.common import BoundedDict, batch, kernel
+
+    schema = pa.schema([("part", pa.int64()), ("mb", pa.float64()), ("cached", pa.int64())])
+
+    def run(batches):
+        from synchra.llm.shingles import Shingler
+
+        s, part = Shingler(), 0
+        with open("/proc/self/statm") as f:
+            held = int(f.read().split()[1]) / 256
+        for b in batches:
+            for part in b.column("id").to_pylist():
+                s.distinct(" ".join(f"{part}w{k}" for k in range(30_000)))
+        yield batch(schema, [part], [held], [sum(len(c) * c.cost for c in BoundedDict.every)])
+
+    got = sorted(kernel(spark.range(0, 80, 1, 20), run, "part long, mb double, cached long").collect())
+    assert max(r.cached for r in got) <= 160 << 20
+    assert max(r.mb for r in got[-4:]) < min(r.mb for r in got[4:8]) + 150
