@@ -79,9 +79,9 @@ def stored(df: DataFrame) -> DataFrame:
 
 def release() -> None:
     """Give freed memory back to the system, so that a reused worker starts its next partition small."""
+    for c in list(BoundedDict.every):
+        c.clear()
     gc.collect()
-    for c in BoundedDict.every:
-        c.trim()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except AttributeError:  # another C library

@@ -25,7 +25,7 @@ import hashlib
 import json
 import struct
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -40,9 +40,9 @@ from .suffixarray import suffix_array
 LENGTH = 50
 GRAM = 20
 #: Bytes of text in a chunk file, of text for each bucket of anchors, of a step within a chunk, and of a suffix array's text (a single anchor's may be longer).
-CHUNK = 4 << 20
+CHUNK = 8 << 20
 BUCKET = 8 << 20
-STEP = 1 << 20
+STEP = 1 << 18
 ARRAY = 64 << 10
 LEAST_ID = -(1 << 63)  # where a missing id stands in the order
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -244,7 +244,20 @@ def _shared_anchors(anchors: DataFrame, buckets: int) -> DataFrame:
     return kernel(anchors.repartition(buckets, "bucket").sortWithinPartitions("bucket"), run, "chunk string, anchors binary")
 
 
-_STRING = "<QIqqI"  # anchor, number in the chunk, least and greatest document, bytes
+#: Columns of sent strings: anchor, number of the first one in the chunk, least and greatest document, bytes; then the strings themselves.
+_SENT = np.dtype([("anchor", "<u8"), ("number", "<u4"), ("low", "<i8"), ("high", "<i8"), ("size", "<u4")])
+#: Columns of answers: number of the string in the chunk and its runs; then windows and least document of each run.
+_ANSWER = np.dtype([("number", "<u4"), ("runs", "<u4")])
+_RUN = np.dtype([("windows", "<u4"), ("low", "<i8")])
+
+
+def _slices(raw: bytes, first: np.ndarray, size: np.ndarray) -> list[bytes]:
+    return [raw[i:j] for i, j in zip(first.tolist(), (first + size).tolist(), strict=True)]
+
+
+def _numbered(number: dict[bytes, int], strings: list[bytes]) -> np.ndarray:
+    """Each string's number in ``number``, which gets the new ones."""
+    return np.array([number.setdefault(s, len(number)) for s in strings], np.int64)
 
 
 def _send_strings(shared: DataFrame, chunks: int, buckets: int) -> DataFrame:
@@ -256,28 +269,29 @@ def _send_strings(shared: DataFrame, chunks: int, buckets: int) -> DataFrame:
         for uri, rows in _runs_by(batches, "chunk"):
             wanted = np.unique(np.concatenate([_unpack(r["anchors"]) for r in rows]))
             chunk = _Chunk(uri)
-            found: dict[bytes, list[int]] = {}
-            raw = chunk.bytes
+            number: dict[bytes, int] = {}
+            parts = [(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
             for first, count, anchor, doc, base in chunk.strings():
                 spot = np.searchsorted(wanted, anchor >> np.uint64(1))
                 spot[spot == len(wanted)] = 0
                 hit = np.flatnonzero(wanted[spot] == anchor >> np.uint64(1))
-                for i, n, k, d, h in zip(first[hit].tolist(), (count[hit] + LENGTH - 1).tolist(), (hit + base).tolist(), chunk.ids[doc[hit]].tolist(), anchor[hit].tolist(), strict=True):
-                    s = raw[i : i + n]
-                    if (e := found.get(s)) is None:
-                        found[s] = [h, k, d, d]
-                    elif d < e[2]:
-                        e[2] = d
-                    elif d > e[3]:
-                        e[3] = d
-            anchors = np.array([e[0] for e in found.values()], np.uint64)
-            bucket = np.searchsorted(edges[1:-1], anchors, "right")
-            parts: dict[int, list[bytes]] = {}
-            for (s, e), b in zip(found.items(), bucket.tolist(), strict=True):
-                parts.setdefault(b, []).append(struct.pack(_STRING, *e, len(s)) + s)
+                x = _numbered(number, _slices(chunk.bytes, first[hit], count[hit] + LENGTH - 1))
+                parts.append((x, anchor[hit], hit + base, chunk.ids[doc[hit]]))
+            x, anchor, place, doc = map(np.concatenate, zip(*parts, strict=True))
+            head = np.unique(x, return_index=True)[1]
+            sent = np.zeros(len(number), _SENT)
+            sent["anchor"], sent["number"], sent["low"], sent["high"] = anchor[head], place[head], doc[head], doc[head]
+            low, high = doc[head], doc[head]
+            np.minimum.at(low, x, doc)
+            np.maximum.at(high, x, doc)
+            sent["low"], sent["high"], sent["size"] = low, high, list(map(len, number))
+            bucket = np.searchsorted(edges[1:-1], sent["anchor"], "right")
+            order, strings = np.argsort(bucket, kind="stable"), list(number)
+            cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=buckets))
             packer = zstandard.ZstdCompressor(level=1)
-            for b, p in parts.items():
-                yield batch(schema, [uri], [b], [packer.compress(b"".join(p))])
+            for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                own = order[i:j]
+                yield batch(schema, [uri], [int(bucket[own[0]])], [packer.compress(struct.pack("<Q", len(own)) + sent[own].tobytes() + b"".join([strings[k] for k in own.tolist()]))])
 
     return kernel(shared.repartition(chunks, "chunk").sortWithinPartitions("chunk"), run, "chunk string, bucket int, strings binary")
 
@@ -298,7 +312,7 @@ def _sharing(strings: list[bytes]) -> np.ndarray:
     return out
 
 
-def least_documents(strings: list[bytes], least: list[int]) -> list[list[tuple[int, int]]]:
+def least_documents(strings: list[bytes], least: Sequence[int]) -> list[list[tuple[int, int]]]:
     """For each string, runs (number of windows, least document with such a window), by one suffix array."""
     symbols = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8).astype(np.int64) + 1
     sizes = np.array([len(s) for s in strings])
@@ -325,8 +339,29 @@ def _as_runs(v: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(np.diff(np.append(at, len(v))).tolist(), v[at].tolist(), strict=True))
 
 
-_RUNS = "<II"  # number of the string in the chunk, runs
-_RUN = "<Iq"
+def _by_arrays(strings: list[bytes], least: np.ndarray, anchor: np.ndarray) -> dict[int, list[tuple[int, int]]]:
+    """Runs of the strings whose anchors have several strings with a window in common, in suffix arrays of about ``ARRAY`` bytes."""
+    order = np.argsort(anchor, kind="stable")
+    runs: dict[int, list[tuple[int, int]]] = {}
+
+    def several(own: np.ndarray) -> np.ndarray:
+        """Those of strings in order of anchors that share theirs."""
+        same = np.concatenate([[False], anchor[own][1:] == anchor[own][:-1], [False]])
+        return own[same[1:] | same[:-1]]
+
+    own = several(order)
+    if len(own):
+        own = several(own[_sharing([strings[x] for x in own.tolist()])])
+    text: list[int] = []
+    size = 0
+    cuts = np.flatnonzero(np.concatenate([[True], anchor[own][1:] != anchor[own][:-1], [True]])).tolist() if len(own) else [0]
+    for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+        text += own[i:j].tolist()
+        size += sum(len(strings[x]) + 1 for x in own[i:j].tolist())
+        if size > ARRAY or j == len(own):
+            runs |= zip(text, least_documents([strings[x] for x in text], least[text]), strict=True)
+            text, size = [], 0
+    return runs
 
 
 def _answer(sent: DataFrame, buckets: int) -> DataFrame:
@@ -336,93 +371,80 @@ def _answer(sent: DataFrame, buckets: int) -> DataFrame:
     def run(batches):
         for _, rows in _runs_by(batches, "bucket"):
             number: dict[bytes, int] = {}
-            strings: list[bytes] = []
-            least: list[int] = []
-            anchors: dict[int, list[int]] = {}
-            asked: list[list[tuple[int, int, int]]] = []
+            asked: list[tuple[np.ndarray, np.ndarray]] = []
             for r in rows:
-                raw, i, mine = zstandard.ZstdDecompressor().decompressobj().decompress(r["strings"]), 0, []
+                raw = zstandard.ZstdDecompressor().decompressobj().decompress(r["strings"])
                 r["strings"] = None
-                while i < len(raw):
-                    h, k, low, high, n = struct.unpack_from(_STRING, raw, i)
-                    i += struct.calcsize(_STRING)
-                    s = raw[i : i + n]
-                    i += n
-                    if (x := number.get(s)) is None:
-                        x = number[s] = len(strings)
-                        strings.append(s)
-                        least.append(low)
-                        anchors.setdefault(h, []).append(x)
-                    elif low < least[x]:
-                        least[x] = low
-                    mine.append((x, k, high))
-                asked.append(mine)
-            several = [x for group in anchors.values() if len(group) > 1 for x in group]
-            may = set(np.array(several)[_sharing([strings[x] for x in several])].tolist()) if several else set()
-            runs: dict[int, list[tuple[int, int]]] = {}
-            text: list[int] = []
-            size = 0
-            for group in [*([x for x in group if x in may] for group in anchors.values() if len(group) > 1), None]:
-                if group is None or size > ARRAY:
-                    if text:
-                        runs |= zip(text, least_documents([strings[x] for x in text], [least[x] for x in text]), strict=True)
-                    text, size = [], 0
-                if group is not None and len(group) > 1:
-                    text += group
-                    size += sum(len(strings[x]) + 1 for x in group)
-            for r, mine in zip(rows, asked, strict=True):
-                out = bytearray()
-                for x, k, high in mine:
-                    found = runs.get(x) or [(len(strings[x]) - LENGTH + 1, least[x])]
-                    if min(d for _, d in found) < high:
-                        out += struct.pack(_RUNS, k, len(found)) + b"".join(struct.pack(_RUN, *f) for f in found)
-                if out:
-                    yield batch(schema, [r["chunk"]], [zstandard.ZstdCompressor(level=1).compress(bytes(out))])
+                own = np.frombuffer(raw, _SENT, struct.unpack_from("<Q", raw)[0], 8)
+                size = own["size"].astype(np.int64)
+                asked.append((_numbered(number, _slices(raw, 8 + own.nbytes + np.cumsum(size) - size, size)), own[["anchor", "number", "low", "high"]].copy()))
+            strings = list(number)
+            windows = np.array(list(map(len, strings)), np.int64) - LENGTH + 1
+            number.clear()
+            least, anchor = np.full(len(strings), np.iinfo(np.int64).max), np.zeros(len(strings), np.uint64)
+            for x, own in asked:
+                np.minimum.at(least, x, own["low"])
+                anchor[x] = own["anchor"]
+            runs = _by_arrays(strings, least, anchor)
+            ordered = np.zeros(len(strings), bool)
+            ordered[list(runs)] = True
+            for r, (x, own) in zip(rows, asked, strict=True):
+                plain = np.flatnonzero(~ordered[x] & (least[x] < own["high"]))
+                mixed = [(k, runs[int(x[k])]) for k in np.flatnonzero(ordered[x]).tolist()]
+                mixed = [(k, f) for k, f in mixed if min(d for _, d in f) < own["high"][k]]
+                if not len(plain) and not mixed:
+                    continue
+                heads = np.zeros(len(plain) + len(mixed), _ANSWER)
+                heads["number"] = np.concatenate([own["number"][plain], own["number"][np.array([k for k, _ in mixed], np.int64)]])
+                heads["runs"] = np.concatenate([np.ones(len(plain), np.int64), np.array([len(f) for _, f in mixed], np.int64)])
+                first = np.zeros(len(plain), _RUN)
+                first["windows"], first["low"] = windows[x[plain]], least[x[plain]]
+                rest = np.array([p for _, f in mixed for p in f], _RUN)
+                out = struct.pack("<QQ", len(heads), len(first) + len(rest)) + heads.tobytes() + first.tobytes() + rest.tobytes()
+                yield batch(schema, [r["chunk"]], [zstandard.ZstdCompressor(level=1).compress(out)])
 
     return kernel(sent.repartition(buckets, "bucket").sortWithinPartitions("bucket"), run, "chunk string, runs binary")
 
 
 def _removed(chunk: _Chunk, answers: list[bytes]) -> np.ndarray:
     """Which bytes of a chunk go."""
-    runs: dict[int, list[tuple[int, int]]] = {}
-    for raw in answers:
-        i = 0
-        while i < len(raw):
-            k, n = struct.unpack_from(_RUNS, raw, i)
-            i += struct.calcsize(_RUNS)
-            runs[k] = [struct.unpack_from(_RUN, raw, i + struct.calcsize(_RUN) * j) for j in range(n)]
-            i += struct.calcsize(_RUN) * n
     change = np.zeros(len(chunk.data) + 1, np.int32)
-    if not runs:
+    heads, parts = [np.zeros(0, _ANSWER)], [np.zeros(0, _RUN)]
+    for raw in answers:
+        n, m = struct.unpack_from("<QQ", raw)
+        heads.append(np.frombuffer(raw, _ANSWER, n, 16))
+        parts.append(np.frombuffer(raw, _RUN, m, 16 + heads[-1].nbytes))
+    head, part = np.concatenate(heads), np.concatenate(parts)
+    if not len(head):
         return change[:-1] > 0
-    known = np.array(sorted(runs), np.int64)
-    of: dict[bytes, list[tuple[int, int]]] = {}
-    anchors = []
+    ends = np.cumsum(head["runs"].astype(np.int64))
+    order = np.argsort(head["number"], kind="stable")
+    known, begins, n_runs = head["number"][order].astype(np.int64), (ends - head["runs"])[order], head["runs"][order].astype(np.int64)
     every = list(chunk.strings())
+    of: dict[bytes, int] = {}
+    anchors = []
     for first, count, anchor, _, base in every:
         i, j = np.searchsorted(known, [base, base + len(first)])
         at = known[i:j] - base
         anchors.append(anchor[at])
-        for k, a, n in zip(known[i:j].tolist(), first[at].tolist(), (count[at] + LENGTH - 1).tolist(), strict=True):
-            of[chunk.bytes[a : a + n]] = runs[k]
+        of |= zip(_slices(chunk.bytes, first[at], count[at] + LENGTH - 1), range(int(i), int(j)))
     wanted = np.unique(np.concatenate(anchors))
-    raw = chunk.bytes
-    begin: list[int] = []
-    end: list[int] = []
     for first, count, anchor, doc, _ in every:
         spot = np.searchsorted(wanted, anchor)
         spot[spot == len(wanted)] = 0
         hit = np.flatnonzero(wanted[spot] == anchor)
-        for a, n, d in zip(first[hit].tolist(), (count[hit] + LENGTH - 1).tolist(), chunk.ids[doc[hit]].tolist(), strict=True):
-            if (found := of.get(raw[a : a + n])) is None:
-                continue
-            for size, low in found:
-                if low < d:
-                    begin.append(a)
-                    end.append(a + size + LENGTH - 1)
-                a += size
-    np.add.at(change, begin, 1)
-    np.add.at(change, end, -1)
+        x = np.array([of.get(s, -1) for s in _slices(chunk.bytes, first[hit], count[hit] + LENGTH - 1)], np.int64)
+        hit, x = hit[x >= 0], x[x >= 0]
+        # One row for each run of each string met.
+        row = np.repeat(np.arange(len(x)), n_runs[x])
+        place = np.arange(len(row)) - np.repeat(np.cumsum(n_runs[x]) - n_runs[x], n_runs[x])
+        run = part[begins[x][row] + place]
+        wide = run["windows"].astype(np.int64)
+        before = np.cumsum(wide) - wide
+        start = first[hit][row] + before - before[np.flatnonzero(place == 0)][row]
+        gone = run["low"] < chunk.ids[doc[hit]][row]
+        np.add.at(change, start[gone], 1)
+        np.add.at(change, start[gone] + wide[gone] + LENGTH - 1, -1)
     return np.cumsum(change[:-1]) > 0
 
 
