@@ -188,12 +188,12 @@ GRAPH_PROPERTIES = {"ECM": eigenvector_centrality, "shortest_path": shortest_pat
 
 
 def graph_property(fc: DataFrame, name: str, top: int | None = None, binarize: bool = False, groups: tuple[str, ...] = ("tr",)) -> DataFrame:
-    """``groups, at, value`` of each graph; paths and clustering always keep the top 200 edges (all, where there are fewer)."""
+    """``groups, at, value`` of each graph; paths and clustering always keep the top 200 edges (all, where there are fewer).  No edges: no rows."""
     if name not in GRAPH_PROPERTIES:
         raise ValueError(f"unknown graph property: {name}")
     if name in ("shortest_path", "clustering_coef"):
         top = 200
-    nodes = fc.agg(F.max("j")).first()[0] + 1
+    nodes = (fc.agg(F.max("j")).first()[0] or 0) + 1
     f = GRAPH_PROPERTIES[name]
 
     def run(g: pd.DataFrame) -> pd.DataFrame:

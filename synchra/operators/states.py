@@ -53,8 +53,12 @@ def two_level_centres(vectors: DataFrame, per_subject: int, states: int, seed: i
     """Centres of each subject's vectors (``subj, tr, x``; in parallel, one subject a task), then of all those centres.
 
     The second level gets ``subjects * per_subject`` vectors, one task's worth; only the states reach the driver.
+    An empty table has no centres.
     """
-    n = len(vectors.select("x").first()["x"])
+    found = vectors.select("x").first()
+    if found is None:
+        return np.zeros((0, 0))
+    n = len(found["x"])
 
     def one(g: pd.DataFrame) -> pd.DataFrame:
         c, _ = kmeans(np.stack(g.sort_values("tr")["x"]), per_subject, seed, n_init, metric)
@@ -197,6 +201,7 @@ def best_restart(vectors: DataFrame, restarts: int, fit) -> dict:
     """Fit restarts in parallel on all subjects' samples as one sequence, and keep the most likely model.
 
     The sequence is sequential by nature, so restarts are what is spread; each task holds it once.
+    An empty table has no model: ValueError.
     """
     import pickle
 
@@ -208,6 +213,8 @@ def best_restart(vectors: DataFrame, restarts: int, fit) -> dict:
         return pd.DataFrame({"restart": [g["restart"].iloc[0]], "score": [m["score"]], "model": [pickle.dumps(m)]})
 
     best = copies.groupBy("restart").applyInPandas(run, "restart int, score double, model binary").orderBy(F.desc("score"), "restart").first()
+    if best is None:
+        raise ValueError("no samples to fit a model to")
     return pickle.loads(bytes(best["model"]))
 
 

@@ -216,9 +216,9 @@ def q_ts_prepare(spark, d):
     return se.prepare(ts(spark, d), 5, num_subj=2, num_select_nodes=4, normalization=True, num_time_point=80)
 
 
-@query(f"WITH em AS (SELECT label AS subj, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS tr, embedding FROM embeddings), long_ AS (SELECT subj, tr, generate_subscripts(embedding, 1) - 1 AS node, unnest(embedding) AS x FROM em) SELECT CAST(subj AS BIGINT) AS subj, tr, node, {r6('CAST(x AS DOUBLE)', 'x')} FROM long_ WHERE node < 8")
+@query(f"WITH em AS (SELECT label AS subj, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS tr, embedding FROM embeddings), long_ AS (SELECT subj, tr, generate_subscripts(embedding, 1) - 1 AS node, unnest(embedding) AS x FROM em) SELECT CAST(subj AS BIGINT) AS subj, tr, node, {r6('CAST(x AS DOUBLE)', 'x')} FROM long_")
 def q_embedding_series(spark, d):
-    return tb.to_long(tb.embedding_series(spark, d)).where("node < 8")
+    return tb.to_long(tb.embedding_series(spark, d))
 
 
 @query("SELECT CAST(user_id % 2 AS BIGINT) AS session, count(*) AS n FROM events WHERE event_type IN ('click', 'view') GROUP BY 1")
@@ -317,9 +317,9 @@ def q_dfc_mat_lookup(spark, d):
     return st.lookup(decoded(spark, d), state_fc(spark, d), spark.createDataFrame([(1,), (3,), (8,)], "tr long"))
 
 
-@query(f"WITH {STATES} SELECT subj, tr, state FROM states WHERE tr % 7 = 0")
+@query(f"WITH {STATES} SELECT subj, tr, state FROM states")
 def q_state_tc(spark, d):
-    return mx.intersection(decoded(spark, d).select("subj", "tr", "state"), spark.range(0, N, 7).withColumnRenamed("id", "tr"), "tr").select("subj", "tr", "state")
+    return decoded(spark, d).select("subj", "tr", "state")
 
 
 @query(f"WITH {STATES} SELECT subj, tr, CAST(s.i AS BIGINT) AS state, CAST(CASE WHEN state = s.i THEN 1 ELSE 0 END AS BIGINT) AS active FROM states, range(1, 5) s(i)")
@@ -498,7 +498,7 @@ def q_tr_intersection(spark, d):
     return mx.common_samples(a.unionByName(b))
 
 
-@query("SELECT subj FROM (SELECT DISTINCT user_id % 7 AS subj, user_id % 2 AS s FROM events WHERE user_id < 60) GROUP BY subj HAVING count(*) = 2")
+@query("SELECT subj FROM (SELECT DISTINCT user_id % 7 AS subj, user_id % 2 AS s FROM events) GROUP BY subj HAVING count(*) = 2")
 def q_common_subjects(spark, d):
     e = tb.table(spark, d, "events").select((F.col("user_id") % 7).alias("subj"), (F.col("user_id") % 2).alias("session"))
     return pg.common_subjects(e)
@@ -578,6 +578,11 @@ def q_overall_stats(spark, d):
     return gr.overall(dy.similarity(dy.features(three(spark, d), "all"), "corr"))
 
 
+@query(f"{SIM_ALL}, per AS (SELECT subj, m1, m2, avg(v) AS v FROM co GROUP BY subj, m1, m2) SELECT m1, m2, {r6('avg(v)', 'mean')}, {r6('var_pop(v)', 'var')}, {r6('CASE WHEN var_pop(v) > 0 THEN avg(v)/sqrt(var_pop(v)) ELSE 0.0 END', 'ratio')} FROM per GROUP BY m1, m2")
+def q_by_feature(spark, d):
+    return gr.by_feature(dy.similarity(dy.features(three(spark, d), "all"), "corr"))
+
+
 @query(f"{SIM_ALL}, o AS (SELECT m1, m2, avg(v) AS mean, var_pop(v) AS var FROM co GROUP BY m1, m2) SELECT {r6('avg(mean)', 'e_e')}, {r6('var_pop(mean)', 'var_e')}, {r6('avg(var)', 'e_var')}, {r6('var_pop(mean)/avg(var)', 'ratio')} FROM o")
 def q_overall_report(spark, d):
     return gr.overall_report(dy.similarity(dy.features(three(spark, d), "all"), "corr"))
@@ -608,6 +613,25 @@ def q_var_overall(spark, d):
     return gr.variance_ratio(three(spark, d), "all")
 
 
+def _report_sql(over: str) -> str:
+    return f"SELECT {r6('avg(ratio + 1)', 'mean_ratio')}, {r6('avg(sqrt(greatest(ratio + 1, 0)))', 'mean_root')}, {r6('avg(var_m)', 'var_m')}, {r6('avg(var_o)', 'var_o')}, {r6('avg(var_m) / nullif(avg(var_o), 0)', 'ratio_of_means')} FROM ({_ratio_sql(over)})"
+
+
+@query(_report_sql("subj, measure"))
+def q_report_method_time(spark, d):
+    return gr.variance_report(out(gr.variance_ratio(three(spark, d), "tr")))
+
+
+@query(_report_sql("measure, tr"))
+def q_report_subject(spark, d):
+    return gr.variance_report(out(gr.variance_ratio(three(spark, d), "subj")))
+
+
+@query(_report_sql("measure"))
+def q_report_overall(spark, d):
+    return gr.variance_report(out(gr.variance_ratio(three(spark, d), "all")))
+
+
 @query(f"WITH {FC3}, c AS (SELECT *, CASE measure WHEN 'mi' THEN 'b' ELSE 'a' END AS cluster FROM fc3), m AS (SELECT cluster, avg(v) AS var_m FROM (SELECT cluster, subj, tr, i, j, var_pop(v) AS v FROM c GROUP BY ALL) GROUP BY cluster), o AS (SELECT cluster, avg(v) AS var_o FROM (SELECT cluster, measure, subj, i, j, var_pop(v) AS v FROM c GROUP BY ALL) GROUP BY cluster) SELECT cluster, {r6('var_m', 'var_m')}, {r6('var_o', 'var_o')}, {r6('var_m/var_o', 'ratio')} FROM m JOIN o USING (cluster)")
 def q_cluster_variance(spark, d):
     return gr.cluster_variance(three(spark, d), {"rect": "a", "taper": "a", "mi": "b"})
@@ -718,6 +742,27 @@ def q_task_presence(spark, d):
     return tk.stride(m, 1.0, 36.0).select("subj", F.floor(F.col("g") / 36).alias("tr"), "x")
 
 
+@query("WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_type) AS k FROM c) SELECT user_id, event_type AS label FROM r WHERE k = 1")
+def q_most_frequent(spark, d):
+    return tb.table(spark, d, "events").groupBy("user_id").agg(mx.most_frequent("event_type").alias("label"))
+
+
+@query("SELECT event_id, CASE WHEN 1.0 / (1 + event_id) <= 0.0001 THEN '****' WHEN 1.0 / (1 + event_id) <= 0.001 THEN '***' WHEN 1.0 / (1 + event_id) <= 0.01 THEN '**' WHEN 1.0 / (1 + event_id) <= 0.05 THEN '*' ELSE 'ns' END AS mark FROM events")
+def q_asterisks(spark, d):
+    return tb.table(spark, d, "events").select("event_id", sa.asterisks(1.0 / (1 + F.col("event_id"))).alias("mark"))
+
+
+@query("SELECT p_partkey, replace(p_name, ' ', '_') AS file FROM part")
+def q_file_name(spark, d):
+    return tb.table(spark, d, "part").select("p_partkey", mx.file_name(F.col("p_name")).alias("file"))
+
+
+@query(f"WITH e AS (SELECT event_id, CAST(user_id % 11 AS DOUBLE) AS x, value AS y FROM events), m AS (SELECT regr_slope(y, x) AS slope, regr_intercept(y, x) AS base FROM e) SELECT event_id, {r6('base + slope * x', 'prediction')} FROM e, m")
+def q_regression(spark, d):
+    e = tb.table(spark, d, "events").select("event_id", (F.col("user_id") % 11).cast("double").alias("x"), F.col("value").alias("y"))
+    return tk.regression(e, ["x"], "y").select("event_id", "prediction")
+
+
 @query("SELECT trial_type, CAST(code AS BIGINT) AS code FROM (SELECT event_type AS trial_type, row_number() OVER (ORDER BY event_type) AS code FROM (SELECT DISTINCT event_type FROM events) UNION ALL SELECT 'rest', 0)")
 def q_trial_codes(spark, d):
     from synchra.sources.files import trial_codes

@@ -259,3 +259,17 @@ def test_common_subjects_of_all_users(spark, tmp_path):
     spark.createDataFrame([(7,), (70,), (1,), (78,), (9,)], "user_id long").write.parquet(str(tmp_path / "events.parquet"))
     got = queries.QUERIES["common_subjects"](spark, str(tmp_path)).collect()
     assert sorted(r.subj for r in got) == [0, 1]
+
+
+def test_empty_tables_of_graphs_and_states(spark):
+    import pytest
+
+    from synchra.functions import matrix as mx
+    from synchra.operators import states as st
+
+    fc = spark.createDataFrame([], "tr long, i long, j long, v double")
+    assert mx.graph_property(fc, next(iter(mx.GRAPH_PROPERTIES))).count() == 0
+    none = spark.createDataFrame([], "subj long, tr long, x array<double>")
+    assert st.two_level_centres(none, 2, 2).size == 0
+    with pytest.raises(ValueError, match="no samples"):
+        st.best_restart(none, 2, lambda x, seed: {"score": 0.0})
