@@ -1,37 +1,50 @@
 """Language-model scores: hashed maximum entropy with a class-factored softmax.
 
-``P(word | history) = P(class | history) * P(word | class)``.
+``P(word | history) = P(class | history) * P(word | class, history)``.
 
 * Classes: each of the ``HEAD`` most frequent tokens has its own; other words are dealt by a hash of
   their last two bytes over ``TAIL`` classes (endings tell languages and kinds of words apart).
-* ``P(class | history)`` is a maximum-entropy model over features of the three classes before: n-grams
+* Each factor mixes four experts by a softmax gate: a softmax of fixed size, and the corpus's word
+  features, bigrams (1), trigrams (1, 2) and skips (2).
+* The fixed softmax over classes is a maximum-entropy model over the three *classes* before: n-grams
   (1), (1, 2) and skips (2), (3), (1, 3), hashed into ``ROWS`` rows of one weight per class.  It
   starts as the bigram model (the exact fit of feature (1) alone) and is trained by ``ROUNDS``
-  distributed gradient updates: each chunk sums observed minus expected counts over all its training
-  tokens, the sums are added up by blocks of rows, and the driver takes a step scaled by counts.
-* ``P(word | class) = (c + 1) / (N_class + V_class + 1)``: add-one within the class, with one place
-  for unknown words, as in the base model.
-
-Counts of all words are needed for every text, but no task or broadcast holds the vocabulary: each
-chunk of documents sends its distinct words to buckets and gets back their counts.  Chunks are files
-in the shared folder, named by committed rows only.
+  distributed gradient updates.  Within a class it is add-one over its words, ``(c + 1) / (N_class + V_class + 1)``.
+* Word features are the words before, with the class of the next one, hashed into 26 bits for each
+  bucket of 8 MB of text, so their number grows with the corpus; the next word is hashed into 22 bits.
+  Each feature's softmax over the words that follow it has the maximum-likelihood solution of one
+  weight per feature and word: relative counts.  Words without that feature have weight minus infinity,
+  which the gate makes good.  Colliding hashes share their counts.
+* The gate's features are the counts of each context (in powers of two).  It is trained by ``GATE_ROUNDS``
+  distributed updates of scaling on the leave-one-out likelihood of every training token: a token's own
+  occurrence is taken out of the counts first.  In a score nothing is taken out.
+
+No task, broadcast or driver holds the vocabulary or the features: each chunk of documents sends its
+distinct words and features to buckets and gets back their counts.  Chunks are files in the shared
+folder, named by committed rows only.
 """
 
 from __future__ import annotations
 
 import math
+import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch, id_text, kernel, mix64, shared_dir, stored
-from .substring_dedup import BUCKET, CHUNK, _Chunk, _runs_by, _write_chunk
+from .substring_dedup import BUCKET, _runs_by
+from .substring_dedup import _pack as _pack_ascending
+from .substring_dedup import _unpack as _unpack_ascending
 
 HEAD = 24
 TAIL = 24
@@ -41,6 +54,14 @@ ROUNDS = 3
 STEP = 0.5
 PRIOR = 2.0
 BLOCKS = 16
+#: Bytes of text in a chunk.
+CHUNK = 4 << 20
+#: Bits of a word feature's hash for one bucket (each doubling of buckets adds one), and of the word after it.
+FEATURE_BITS, WORD_BITS = 26, 22
+#: Kinds of word features: bigram, trigram, skip.
+KINDS = 3
+BINS = 8
+GATE_ROUNDS = 8
 END = b"\n"  # no word has this byte
 
 
@@ -74,14 +95,59 @@ class Vocabulary:
         return HEAD + tail_class(word) if k is None else k
 
 
-def _words_of(chunk: _Chunk) -> tuple[list[np.ndarray], list[bytes]]:
-    """Token numbers of each document of a chunk, and the chunk's distinct tokens in order of appearance."""
+def _number(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Token numbers of documents end to end, their numbers of tokens, and the distinct tokens in order of appearance."""
     number: dict[bytes, int] = {}
     docs = []
-    for i, j in zip(chunk.starts[:-1].tolist(), chunk.starts[1:].tolist(), strict=True):
-        words = tokens(chunk.bytes[i:j])
-        docs.append(np.array([number.setdefault(w, len(number)) for w in words], np.int64))
-    return docs, list(number)
+    for raw in texts:
+        words = tokens(raw)
+        docs.append(np.array([number.setdefault(w, len(number)) for w in words], np.uint32))
+    return np.concatenate(docs), np.array([len(d) for d in docs]), list(number)
+
+
+def _write_tokens(folder: str, ids: list, flat: np.ndarray, sizes: np.ndarray, words: list[bytes]) -> str:
+    where, base = fs.FileSystem.from_uri(folder)
+    where.create_dir(base, recursive=True)
+    name = uuid.uuid4().hex
+    parts = [
+        np.array([d or 0 for d in ids], "<i8").tobytes(),
+        bytes(d is None for d in ids),
+        sizes.astype("<i8").tobytes(),
+        np.ascontiguousarray(flat.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(),
+        b" ".join(words),
+    ]
+    packed = [_pack(x) for x in parts]
+    with where.open_output_stream(f"{base}/{name}", compression=None) as f:
+        f.write(struct.pack("<5Q", *map(len, packed)) + b"".join(packed))
+    return f"{folder}/{name}"
+
+
+class _Tokens:
+    """A chunk: ``ids``, ``sizes`` (tokens of each document), ``flat`` (token numbers, documents end to end) and ``words``."""
+
+    def __init__(self, uri: str):
+        where, path = fs.FileSystem.from_uri(uri)
+        with where.open_input_file(path) as f:
+            raw = f.read()
+        ends = 40 + np.cumsum(struct.unpack_from("<5Q", raw))
+        ids, gone, sizes, flat, words = (_unpack(raw[i:j]) for i, j in zip([40, *ends[:-1].tolist()], ends.tolist(), strict=True))
+        self.ids = [None if g else d for d, g in zip(np.frombuffer(ids, "<i8").tolist(), gone, strict=True)]
+        self.sizes = np.frombuffer(sizes, "<i8")
+        self.flat = np.ascontiguousarray(np.frombuffer(flat, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+        self.words = words.split(b" ")
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def training(self) -> np.ndarray:
+        """Whether each token is one to learn from."""
+        return np.repeat(np.array([not held_out(d) for d in self.ids]), self.sizes)
+
+    def before(self, values: np.ndarray, start, back: int) -> np.ndarray:
+        """The value of the token ``back`` places before each one, ``start`` where its document has none."""
+        out = np.empty_like(values)
+        out[back:], out[:back] = values[:-back] if len(values) > back else values[:0], start
+        for k in range(back):
+            out[self.starts[self.sizes > k] + k] = start
+        return out
 
 
 def _by_bucket(words: list[bytes], buckets: int) -> np.ndarray:
@@ -101,11 +167,10 @@ def _chunk_words(docs: DataFrame, folder: str, buckets: int) -> DataFrame:
     schema = pa.schema([("chunk", pa.string()), ("bucket", pa.int32()), ("words", pa.binary()), ("counts", pa.binary())])
 
     def close(ids, texts):
-        starts = np.cumsum([0, *map(len, texts)], dtype=np.int64)
-        uri = _write_chunk(folder, ids, b"".join(texts), starts)
-        numbers, words = _words_of(_Chunk(uri))
-        train = [n for d, n in zip(ids, numbers, strict=True) if not held_out(d)]
-        counts = np.bincount(np.concatenate(train), minlength=len(words)) if train else np.zeros(len(words), np.int64)
+        flat, sizes, words = _number(texts)
+        uri = _write_tokens(folder, ids, flat, sizes, words)
+        train = np.repeat(np.array([not held_out(d) for d in ids]), sizes)
+        counts = np.bincount(flat[train], minlength=len(words))
         bucket = _by_bucket(words, buckets)
         for b in np.unique(bucket).tolist():
             at = np.flatnonzero(bucket == b)
@@ -194,16 +259,45 @@ def log_probabilities(weights: np.ndarray, rows: list[np.ndarray]) -> np.ndarray
     return z - np.log(np.exp(z).sum(1, keepdims=True))
 
 
-def _histories(numbers: list[np.ndarray], classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Class of each token and code of its history, documents end to end."""
-    now, code = [], []
+def _histories(chunk: _Tokens, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Class of each token and code of the three classes before it."""
+    now = classes[chunk.flat]
     side = CLASSES + 1
-    for n in numbers:
-        c = classes[n]
-        p = np.concatenate([np.full(3, CLASSES), c])
-        now.append(c)
-        code.append((p[2:-1] * side + p[1:-2]) * side + p[:-3])
-    return np.concatenate(now), np.concatenate(code)
+    a, b, c = (chunk.before(now, CLASSES, k) for k in (1, 2, 3))
+    return now, (a * side + b) * side + c
+
+
+def _feature_bits(buckets: int) -> int:
+    return min(64 - WORD_BITS, FEATURE_BITS + (buckets - 1).bit_length())
+
+
+def word_features(chunk: _Tokens, now: np.ndarray, buckets: int) -> np.ndarray:
+    """``KINDS`` rows of hashed features with the word after them: the feature in the upper bits, the word in the lower."""
+    hashed = np.fromiter(map(xxhash.xxh64_intdigest, chunk.words), np.uint64, len(chunk.words))[chunk.flat]
+    start = np.uint64(0x5BD1E9955BD1E995)
+    one, two = chunk.before(hashed, start, 1), chunk.before(hashed, start, 2)
+    word = hashed >> np.uint64(64 - WORD_BITS)
+    out = np.empty((KINDS, len(now)), np.uint64)
+    with np.errstate(over="ignore"):
+        label = now.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for k, code in enumerate((one, one + mix64(two + np.uint64(1)), mix64(two + np.uint64(2)))):
+            f = mix64(mix64(code + np.uint64(k)) + label)
+            out[k] = f >> np.uint64(64 - _feature_bits(buckets)) << np.uint64(WORD_BITS) | word
+    return out
+
+
+def _edges(buckets: int) -> np.ndarray:
+    """First feature of each bucket but the first."""
+    whole = 1 << _feature_bits(buckets)
+    return np.array([k * whole // buckets << WORD_BITS for k in range(1, buckets)], np.uint64)
+
+
+def _planes(values: np.ndarray) -> bytes:
+    return _pack(np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def _from_planes(blob: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(_unpack(blob), np.uint8).reshape(8, -1).T).view("<u8").ravel().astype(np.int64)
 
 
 def _split(code: np.ndarray) -> list[np.ndarray]:
@@ -211,30 +305,68 @@ def _split(code: np.ndarray) -> list[np.ndarray]:
     return feature_rows(code // (side * side), code // side % side, code % side)
 
 
-def _observed(chunks: DataFrame, vocab: Vocabulary) -> DataFrame:
-    """One reading of the training tokens: ``block, sums`` (observed counts of rows and classes, by task) and ``codes, counts`` (a chunk's distinct histories)."""
-    schema = pa.schema([("block", pa.int32()), ("sums", pa.binary()), ("codes", pa.binary()), ("counts", pa.binary())])
+def _observed(chunks: DataFrame, vocab: Vocabulary, buckets: int) -> DataFrame:
+    """One reading of the tokens: ``block, sums`` (observed counts of rows and classes, by task), ``codes, counts`` (a chunk's
+    distinct class histories) and ``chunk, bucket, codes, counts`` (its distinct word features, with counts in its training documents)."""
+    schema = pa.schema([("block", pa.int32()), ("sums", pa.binary()), ("codes", pa.binary()), ("counts", pa.binary()), ("chunk", pa.string()), ("bucket", pa.int32())])
 
     def run(batches):
         out = np.zeros(ROWS * CLASSES)
         for b in batches:
             for uri in b.column("chunk").to_pylist():
-                chunk = _Chunk(uri)
-                numbers, words = _words_of(chunk)
-                numbers = [n for d, n in zip(chunk.given_ids(), numbers, strict=True) if not held_out(d)]
-                if not numbers:
+                chunk = _Tokens(uri)
+                train = chunk.training()
+                classes = np.fromiter(map(vocab.class_of, chunk.words), np.int64, len(chunk.words))
+                now, code = _histories(chunk, classes)
+                features = word_features(chunk, now, buckets)
+                every = np.concatenate([np.sort(features[:, train], axis=None), np.sort(features[:, ~train], axis=None)])
+                n = np.zeros(len(every), np.int64)
+                n[: KINDS * int(train.sum())] = 1
+                order = np.argsort(every, kind="stable")  # two sorted runs
+                every, n = every[order], n[order]
+                head = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+                every, n = every[head], np.add.reduceat(n, head)
+                ends = [0, *np.searchsorted(every, _edges(buckets)).tolist(), len(every)]
+                for k, (i, j) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+                    if i < j:
+                        yield batch(schema, [None], [None], [_pack_ascending(every[i:j])], [_planes(n[i:j])], [uri], [k])
+                if not train.any():
                     continue
-                classes = np.fromiter(map(vocab.class_of, words), np.int64, len(words))
-                now, code = _histories(numbers, classes)
-                pairs, n = np.unique(code * CLASSES + now, return_counts=True)
+                pairs, n = np.unique(code[train] * CLASSES + now[train], return_counts=True)
                 code, now = pairs // CLASSES, pairs % CLASSES
                 for rows in _split(code):
                     out += np.bincount(rows * CLASSES + now, n, ROWS * CLASSES)
                 head = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
-                yield batch(schema, [None], [None], [_pack(code[head].astype("<u4").tobytes())], [_pack(np.add.reduceat(n, head).astype("<u4").tobytes())])
+                yield batch(schema, [None], [None], [_pack(code[head].astype("<u4").tobytes())], [_pack(np.add.reduceat(n, head).astype("<u4").tobytes())], [None], [None])
         yield from _by_block(out.reshape(ROWS, CLASSES), schema)
 
-    return kernel(chunks, run, "block int, sums binary, codes binary, counts binary")
+    return kernel(chunks, run, "block int, sums binary, codes binary, counts binary, chunk string, bucket int")
+
+
+def _count_features(sent: DataFrame, buckets: int) -> DataFrame:
+    """``chunk, bucket, joint, alone``: counts of a chunk's features with their words, and of the features, over all training tokens."""
+    schema = pa.schema([("chunk", pa.string()), ("bucket", pa.int32()), ("joint", pa.binary()), ("alone", pa.binary())])
+
+    def run(batches):
+        for bucket, rows in _runs_by(batches, "bucket"):
+            parts = [_unpack_ascending(r["codes"]) for r in rows]
+            every = np.concatenate(parts)
+            n = np.concatenate([_from_planes(r["counts"]) for r in rows])
+            names = [r["chunk"] for r in rows]
+            rows.clear()
+            order = np.argsort(every, kind="stable")
+            every, n = every[order], n[order]
+            del order
+            head = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+            every, joint = every[head], np.add.reduceat(n, head)
+            feature = every >> np.uint64(WORD_BITS)
+            new = np.concatenate([[True], feature[1:] != feature[:-1]])
+            alone = np.add.reduceat(joint, np.flatnonzero(new))[np.cumsum(new) - 1]
+            for uri, part in zip(names, parts, strict=True):
+                at = np.searchsorted(every, part)
+                yield batch(schema, [uri], [bucket], [_planes(joint[at])], [_planes(alone[at])])
+
+    return kernel(sent.repartition(buckets, "bucket").sortWithinPartitions("bucket"), run, "chunk string, bucket int, joint binary, alone binary")
 
 
 def _by_block(table: np.ndarray, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -283,14 +415,13 @@ def _added(sent: DataFrame) -> np.ndarray:
     return out.reshape(ROWS, CLASSES)
 
 
-def train(chunks: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> np.ndarray:
-    """Weights (``ROWS`` by ``CLASSES``), the same size for any corpus.
+def train(observed: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> np.ndarray:
+    """Weights of the fixed softmax over classes (``ROWS`` by ``CLASSES``), the same size for any corpus.
 
-    Texts are read once; the rounds go over all distinct histories of each chunk with their counts.
+    The rounds go over all distinct histories of each chunk with their counts.
     """
-    observed = stored(_observed(chunks, vocab))
     seen = _added(observed.where("block is not null").select("block", "sums"))
-    contexts = observed.where("codes is not null").select("codes", "counts")
+    contexts = observed.where("codes is not null and chunk is null").select("codes", "counts")
     marginal = vocab.class_tokens + 1
     marginal = marginal / marginal.sum()
     weights = np.zeros((ROWS, CLASSES))
@@ -302,11 +433,169 @@ def train(chunks: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> np.ndar
     return weights
 
 
+@dataclass
+class Evidence:
+    """What is known of each token of a chunk: its class, the class's probability under the fixed softmax and counts from training documents.
+
+    ``joint`` and ``alone`` are the counts of its word features (rows: kinds) with and without the token itself, ``before`` those
+    of the words before it (0: there are none), ``counts`` those of the chunk's distinct words.
+    """
+
+    now: np.ndarray
+    fixed: np.ndarray
+    word: np.ndarray
+    joint: np.ndarray
+    alone: np.ndarray
+    before: np.ndarray
+    counts: np.ndarray
+
+
+def evidence(chunk: _Tokens, rows: list[dict], vocab: Vocabulary, weights: np.ndarray, buckets: int) -> Evidence:
+    """``rows`` are the buckets' answers to the chunk."""
+    classes = np.fromiter(map(vocab.class_of, chunk.words), np.int64, len(chunk.words))
+    now, code = _histories(chunk, classes)
+    counts = np.zeros(len(chunk.words), np.int64)
+    bucket = _by_bucket(chunk.words, buckets)
+    for r in rows:
+        if r["counts"] is not None:
+            counts[bucket == r["bucket"]] = np.frombuffer(_unpack(r["counts"]), "<u8")
+    code, back = np.unique(code, return_inverse=True)
+    order = np.argsort(back, kind="stable")
+    bounds = np.searchsorted(back[order], np.arange(0, len(code) + (1 << 14), 1 << 14))
+    fixed = np.empty(len(now))
+    for k, i in enumerate(range(0, len(code), 1 << 14)):
+        at = order[bounds[k] : bounds[k + 1]]
+        fixed[at] = np.exp(log_probabilities(weights, _split(code[i : i + (1 << 14)])))[back[at] - i, now[at]]
+    told = sorted((r for r in rows if r["joint"] is not None), key=lambda r: r["bucket"])
+    distinct, at = np.unique(word_features(chunk, now, buckets), return_inverse=True)
+    joint, alone = (np.concatenate([_from_planes(r[c]) for r in told])[at.reshape(KINDS, -1)] for c in ("joint", "alone"))
+    word = counts[chunk.flat]
+    # A document's start is counted as often as its end.  Before its second token there is no pair of words.
+    ends = counts[chunk.flat[chunk.sizes[0] - 1]]
+    before = np.stack([chunk.before(word, ends, 1), chunk.before(joint[0], 0, 1), chunk.before(word, ends, 2)])
+    before[1:, chunk.starts] = 0
+    alone[1:, chunk.starts] = 0
+    return Evidence(now, fixed, word, joint, alone, before, counts)
+
+
+def experts(known: Evidence, vocab: Vocabulary, own: np.ndarray | int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """``probabilities`` and ``contexts``, arrays of factor (class, word), expert and token.
+
+    Experts stand as fixed softmax, bigram, trigram, skip; ``contexts`` are the counts of the latter three's contexts (0: the
+    expert knows nothing).  ``own`` (0 or 1 for each token) is taken out of the counts.
+    """
+    joint, alone, before = (np.maximum(x - own, 0) for x in (known.joint, known.alone, known.before))
+    p = np.zeros((2, KINDS + 1, len(known.now)))
+    p[0, 0] = known.fixed
+    p[1, 0] = (known.word - own + 1) / (vocab.class_tokens[known.now] + vocab.class_types[known.now] - own + 1)
+    p[0, 1:] = np.minimum(alone / np.maximum(before, 1), 1) * (before > 0)
+    p[1, 1:] = np.minimum(joint / np.maximum(alone, 1), 1) * (alone > 0)
+    return p, np.stack([before, alone])
+
+
+def mixed(known: Evidence, vocab: Vocabulary, theta: np.ndarray, own: np.ndarray | int = 0) -> np.ndarray:
+    """Base-10 logarithm of each token's probability."""
+    p, contexts = experts(known, vocab, own)
+    bins = context_bins(contexts)
+    return sum(np.log10((gates(theta[k], bins[k]) * p[k]).sum(0)) for k in range(2))
+
+
+def context_bins(contexts: np.ndarray) -> np.ndarray:
+    """0 without a context, else 1 to ``BINS`` by the power of two below its count."""
+    return np.where(contexts > 0, np.minimum(np.frexp(np.maximum(contexts, 1).astype(np.float64))[1], BINS), 0)
+
+
+def gates(theta: np.ndarray, bins: np.ndarray) -> np.ndarray:
+    """Shares of the experts (rows) for each token of one factor; an expert without context has none."""
+    z = np.zeros((KINDS + 1, bins.shape[1]))
+    for k in range(KINDS):
+        z[k + 1] = np.where(bins[k] > 0, theta[k][bins[k]], -np.inf)
+    z = np.exp(z - z.max(0))
+    return z / z.sum(0)
+
+
+#: Levels of an expert's probability in relation to the fixed softmax, in half nats from -8; 0 is probability 0.
+_LEVELS = 64
+
+
+def _gate_cases(answers: DataFrame, vocab: Vocabulary, weights: np.ndarray, buckets: int) -> DataFrame:
+    """``codes, counts``: distinct cases (factor, bins, levels) of each chunk's training tokens, their own occurrences taken out."""
+    schema = pa.schema([("codes", pa.binary()), ("counts", pa.binary())])
+
+    def run(batches):
+        for uri, rows in _runs_by(batches, "chunk"):
+            chunk = _Tokens(uri)
+            train = chunk.training()
+            if not train.any():
+                continue
+            p, contexts = experts(evidence(chunk, rows, vocab, weights, buckets), vocab, train.astype(np.int64))
+            bins = context_bins(contexts)
+            found = []
+            for factor in range(2):
+                code = np.full(int(train.sum()), factor, np.int64)
+                first = p[factor, 0, train]
+                for k in range(KINDS):
+                    q = p[factor, k + 1, train]
+                    level = np.clip(np.rint(2 * np.log(np.maximum(q, 1e-300) / first)) + 17, 1, _LEVELS - 1)
+                    code = (code * (BINS + 1) + bins[factor, k, train]) * _LEVELS + np.where(q > 0, level, 0).astype(np.int64)
+                found.append(np.unique(code, return_counts=True))
+            codes, n = (np.concatenate(x) for x in zip(*found, strict=True))
+            yield batch(schema, [_planes(codes)], [_planes(n)])
+
+    return kernel(answers, run, "codes binary, counts binary")
+
+
+def _gate_sums(cases: DataFrame, theta: np.ndarray) -> DataFrame:
+    """``cell, got, given``: for each weight of the gate the sum of its expert's posterior and prior shares, and the logarithm of the likelihood in cell -1."""
+    schema = pa.schema([("cell", pa.int32()), ("got", pa.float64()), ("given", pa.float64())])
+
+    def run(batches):
+        got, given, likelihood = np.zeros((2, KINDS, BINS + 1)), np.zeros((2, KINDS, BINS + 1)), 0.0
+        for b in batches:
+            for codes, counts in zip(b.column("codes").to_pylist(), b.column("counts").to_pylist(), strict=True):
+                code, n = _from_planes(codes), _from_planes(counts)
+                ratio, bins = np.ones((KINDS + 1, len(code))), np.zeros((KINDS, len(code)), np.int64)
+                for k in reversed(range(KINDS)):
+                    level, code = code % _LEVELS, code // _LEVELS
+                    bins[k], code = code % (BINS + 1), code // (BINS + 1)
+                    ratio[k + 1] = np.where(level > 0, np.exp((level - 17) / 2), 0)
+                for factor in range(2):
+                    at = code == factor
+                    share = gates(theta[factor], bins[:, at])
+                    post = share * ratio[:, at]
+                    likelihood += float(np.log(post.sum(0)) @ n[at])
+                    post /= post.sum(0)
+                    for k in range(KINDS):
+                        got[factor, k] += np.bincount(bins[k, at], post[k + 1] * n[at], BINS + 1)
+                        given[factor, k] += np.bincount(bins[k, at], share[k + 1] * n[at], BINS + 1)
+        size = got.size
+        yield batch(schema, [-1, *range(size)], [likelihood, *got.ravel()], [0.0, *given.ravel()])
+
+    return kernel(cases, run, "cell int, got double, given double").groupBy("cell").agg(F.sum("got").alias("got"), F.sum("given").alias("given"))
+
+
+def train_gate(cases: DataFrame, rounds: int = GATE_ROUNDS) -> tuple[np.ndarray, list[float]]:
+    """Weights of the gate (factor, expert, bin), and the leave-one-out gain in nats over the fixed softmaxes before each round."""
+    theta = np.full((2, KINDS, BINS + 1), -1.0)
+    gains = []
+    for _ in range(rounds):
+        got, given = np.zeros(theta.size), np.zeros(theta.size)
+        for r in _gate_sums(cases, theta).collect():
+            if r["cell"] < 0:
+                gains.append(r["got"])
+            else:
+                got[r["cell"]], given[r["cell"]] = r["got"], r["given"]
+        theta = np.clip(theta + np.log((got + 0.1) / (given + 0.1)).reshape(theta.shape), -12, 12)
+    return theta, gains
+
+
 def scores(docs: DataFrame) -> DataFrame:
     """Learn from documents that aren't held out and score all, one row per input row.
 
     ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``: base-10 logarithms of the
     whole text's probability under the add-one unigram model and under the maximum-entropy model.
+    The score of a document that was learned from counts its own words and features, too; in ``left_out_score``
+    each token's own occurrence is taken out of the counts, so learned and held-out texts compare.
     Null text counts as empty (one token, the end); a null id isn't held out; an empty table gives none.
     """
     spark = docs.sparkSession
@@ -318,41 +607,26 @@ def scores(docs: DataFrame) -> DataFrame:
     n = max(1, chunks.count())
     counted = stored(_count(words, buckets))
     vocab = _vocabulary(counted)
-    weights = train(chunks.repartition(min(n, 4 * spark.sparkContext.defaultParallelism)), vocab)
-    spread = np.log10(vocab.class_tokens + vocab.class_types + 1)
-    small = weights.astype(np.float32)
+    observed = stored(_observed(chunks.repartition(min(n, 4 * spark.sparkContext.defaultParallelism)), vocab, buckets))
+    weights = train(observed, vocab).astype(np.float32)
+    told = _count_features(observed.where("chunk is not null").select("chunk", "bucket", "codes", "counts"), buckets)
+    answers = counted.where("chunk is not null").select("chunk", "bucket", "counts").unionByName(told, allowMissingColumns=True)
+    answers = stored(answers.repartition(n, "chunk").sortWithinPartitions("chunk"))
+    answers = answers.repartition(n, "chunk").sortWithinPartitions("chunk")
+    theta, _ = train_gate(stored(_gate_cases(answers, vocab, weights, buckets)))
     base_log = math.log10(vocab.tokens + vocab.types + 1)
-    names = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    names = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, left_out_score double"
     kinds = {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}
     schema = pa.schema([(c, kinds[k]) for c, k in (x.split() for x in names.split(", "))])
 
     def run(batches):
         for uri, rows in _runs_by(batches, "chunk"):
-            chunk = _Chunk(uri)
-            numbers, words = _words_of(chunk)
-            bucket = _by_bucket(words, buckets)
-            counts = np.zeros(len(words), np.int64)
-            for r in rows:
-                counts[bucket == r["bucket"]] = np.frombuffer(_unpack(r["counts"]), "<u8")
-            logs, known = np.log10(counts + 1), counts > 0
-            classes = np.fromiter(map(vocab.class_of, words), np.int64, len(words))
-            now, code = _histories(numbers, classes)
-            code, back = np.unique(code, return_inverse=True)
-            class_logs = np.empty(len(now))
-            order = np.argsort(back, kind="stable")
-            bounds = np.searchsorted(back[order], np.arange(0, len(code) + (1 << 15), 1 << 15))
-            for k, i in enumerate(range(0, len(code), 1 << 15)):
-                p = log_probabilities(small, _split(code[i : i + (1 << 15)])) / math.log(10)
-                at = order[bounds[k] : bounds[k + 1]]
-                class_logs[at] = p[back[at] - i, now[at]]
-            class_logs -= spread[now]
-            sizes = np.array([len(x) for x in numbers])
-            starts = np.cumsum(sizes) - sizes
-            word_logs = np.add.reduceat(np.concatenate([logs[x] for x in numbers]), starts)
-            n_known = np.add.reduceat(np.concatenate([known[x] for x in numbers]).astype(np.int64), starts)
-            model = word_logs + np.add.reduceat(class_logs, starts)
-            ids = chunk.given_ids()
-            yield batch(schema, ids, [held_out(d) for d in ids], sizes, n_known, [vocab.tokens] * len(ids), word_logs - sizes * base_log, model)
-
-    answers = counted.where("chunk is not null").select("chunk", "bucket", "counts").repartition(n, "chunk").sortWithinPartitions("chunk")
+            chunk = _Tokens(uri)
+            known = evidence(chunk, rows, vocab, weights, buckets)
+            counts = known.counts
+            model = mixed(known, vocab, theta)
+            apart = mixed(known, vocab, theta, chunk.training().astype(np.int64))
+            add = [np.add.reduceat(x, chunk.starts) for x in (np.log10(counts + 1)[chunk.flat], (counts > 0).astype(np.int64)[chunk.flat], model, apart)]
+            yield batch(schema, chunk.ids, [held_out(d) for d in chunk.ids], chunk.sizes, add[1], [vocab.tokens] * len(chunk.ids), add[0] - chunk.sizes * base_log, add[2], add[3])
+
     return kernel(answers, run, names)

@@ -296,6 +296,60 @@ def test_language_model(spark, docs, texts, empty):
     edge_cases(spark, lmscore.scores)
 
 
+def test_language_model_learns_word_features(spark):
+    """Held-out texts made of sentences from training texts cost less than under the base model; a text learned twice costs less than one learned once, its own occurrence left out."""
+    rng = random.Random(11)
+    words = [f"w{k}" + rng.choice("abcdefgh") for k in range(400)]
+    sentences = [" ".join(rng.choice(words) for _ in range(8)) for _ in range(60)]
+    data = [(i, " ".join(rng.sample(sentences, 4))) for i in range(400)]
+    once = [(1000 + i, " ".join(rng.choice(words) for _ in range(60))) for i in range(40)]
+    twice = [(2000 + i, " ".join(rng.choice(words) for _ in range(60))) for i in range(40)]
+    twice += [(k + 1000, t) for k, t in twice]
+    got = rows(lmscore.scores(spark.createDataFrame(data + once + twice, "doc_id long, text string")))
+    held = [r for i, r in got.items() if i < 1000 and r.held_out]
+    assert sum(r.score for r in held) > 0.5 * sum(r.base_score for r in held)
+    assert all(r.left_out_score == pytest.approx(r.score) for r in got.values() if r.held_out)
+    learned = {i for i in got if not lmscore.held_out(i)}
+    single = [got[i].left_out_score / got[i].n_tokens for i in learned if 1000 <= i < 2000]
+    double = [got[i].left_out_score / got[i].n_tokens for i in learned if 2000 <= i < 3000 and i + 1000 in learned]
+    assert min(double) > max(single)
+
+
+def test_language_model_experts_are_distributions():
+    """The words of a class share each expert's probability 1, and gates share 1."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(1, 30))).encode() for _ in range(50)]
+    flat, sizes, words = lmscore._number(texts)
+    pairs, after = collections.Counter(), collections.Counter()
+    for i, j in zip(np.cumsum(sizes) - sizes, np.cumsum(sizes), strict=True):
+        for a, b in zip(flat[i:j], flat[i + 1 : j], strict=False):
+            pairs[a, lmscore.tail_class(words[b]), b] += 1
+            after[a, lmscore.tail_class(words[b])] += 1
+    sums = collections.Counter()
+    for (a, c, _), n in pairs.items():
+        sums[a, c] += n / after[a, c]
+    assert all(x == pytest.approx(1) for x in sums.values())
+    theta = np.random.default_rng(1).normal(size=(lmscore.KINDS, lmscore.BINS + 1))
+    bins = np.random.default_rng(2).integers(0, lmscore.BINS + 1, (lmscore.KINDS, 200))
+    share = lmscore.gates(theta, bins)
+    assert np.allclose(share.sum(0), 1) and (share[1:][bins == 0] == 0).all()
+
+
+def test_language_model_gate_rounds_raise_the_likelihood(spark):
+    codes, counts = [], []
+    rng = np.random.default_rng(3)
+    for factor in range(2):
+        for _ in range(300):
+            code = factor
+            for _ in range(lmscore.KINDS):
+                code = (code * (lmscore.BINS + 1) + int(rng.integers(0, lmscore.BINS + 1))) * 64 + int(rng.integers(0, 40))
+            codes.append(code)
+            counts.append(int(rng.integers(1, 9)))
+    cases = spark.createDataFrame([(bytearray(lmscore._planes(np.array(codes))), bytearray(lmscore._planes(np.array(counts))))], "codes binary, counts binary")
+    _, gains = lmscore.train_gate(cases, 5)
+    assert all(b > a for a, b in zip(gains, gains[1:], strict=False))
+
+
 def test_class_probabilities_sum_to_one():
     rng = np.random.default_rng(0)
     w = rng.normal(size=(lmscore.ROWS, lmscore.CLASSES))
