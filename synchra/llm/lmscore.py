@@ -11,7 +11,8 @@
   starts as the bigram model (the exact fit of feature (1) alone) and is trained by ``ROUNDS``
   distributed gradient updates.  Within a class it is add-one over its words, ``(c + 1) / (N_class + V_class + 1)``.
 * Word features are the words before, with the class of the next one, hashed into 26 bits for each
-  bucket of 8 MB of text, so their number grows with the corpus; the next word is hashed into 22 bits.
+  bucket of 8 MB of text, so their number grows with the corpus; the next word is hashed into 20 bits.
+  Skips tell the class only.
   Each feature's softmax over the words that follow it has the maximum-likelihood solution of one
   weight per feature and word: relative counts.  Words without that feature have weight minus infinity,
   which the gate makes good.  Colliding hashes share their counts.
@@ -55,11 +56,12 @@ STEP = 0.5
 PRIOR = 2.0
 BLOCKS = 16
 #: Bytes of text in a chunk.
-CHUNK = 4 << 20
+CHUNK = 6 << 20
 #: Bits of a word feature's hash for one bucket (each doubling of buckets adds one), and of the word after it.
-FEATURE_BITS, WORD_BITS = 26, 22
-#: Kinds of word features: bigram, trigram, skip.
+FEATURE_BITS, WORD_BITS = 26, 20
+#: Kinds of word features: bigram, trigram, skip (of the class only).
 KINDS = 3
+SKIP = 2
 BINS = 8
 GATE_ROUNDS = 8
 END = b"\n"  # no word has this byte
@@ -162,19 +164,12 @@ def _unpack(raw: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompressobj().decompress(raw)
 
 
-def _chunk_words(docs: DataFrame, folder: str, buckets: int) -> DataFrame:
-    """Write chunk files; ``chunk, bucket, words`` (the chunk's distinct words, set apart by spaces) and ``counts`` (in its training documents)."""
-    schema = pa.schema([("chunk", pa.string()), ("bucket", pa.int32()), ("words", pa.binary()), ("counts", pa.binary())])
+def _cut(docs: DataFrame, folder: str) -> DataFrame:
+    """Write chunk files; rows ``chunk``."""
+    schema = pa.schema([("chunk", pa.string())])
 
     def close(ids, texts):
-        flat, sizes, words = _number(texts)
-        uri = _write_tokens(folder, ids, flat, sizes, words)
-        train = np.repeat(np.array([not held_out(d) for d in ids]), sizes)
-        counts = np.bincount(flat[train], minlength=len(words))
-        bucket = _by_bucket(words, buckets)
-        for b in np.unique(bucket).tolist():
-            at = np.flatnonzero(bucket == b)
-            yield batch(schema, [uri], [b], [_pack(b" ".join([words[i] for i in at.tolist()]))], [_pack(counts[at].astype("<u4").tobytes())])
+        return batch(schema, [_write_tokens(folder, ids, *_number(texts))])
 
     def run(batches):
         ids, texts, size = [], [], 0
@@ -182,15 +177,32 @@ def _chunk_words(docs: DataFrame, folder: str, buckets: int) -> DataFrame:
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
                 if ids and size + len(raw) > CHUNK:
-                    yield from close(ids, texts)
+                    yield close(ids, texts)
                     ids, texts, size = [], [], 0
                 ids.append(doc_id)
                 texts.append(raw)
                 size += len(raw)
         if ids:
-            yield from close(ids, texts)
+            yield close(ids, texts)
+
+    return kernel(docs, run, "chunk string")
+
+
+def _chunk_words(chunks: DataFrame, buckets: int) -> DataFrame:
+    """``chunk, bucket, words`` (a chunk's distinct words, set apart by spaces) and ``counts`` (in its training documents)."""
+    schema = pa.schema([("chunk", pa.string()), ("bucket", pa.int32()), ("words", pa.binary()), ("counts", pa.binary())])
+
+    def run(batches):
+        for b in batches:
+            for uri in b.column("chunk").to_pylist():
+                chunk = _Tokens(uri)
+                counts = np.bincount(chunk.flat[chunk.training()], minlength=len(chunk.words))
+                bucket = _by_bucket(chunk.words, buckets)
+                order = np.argsort(bucket, kind="stable")
+                for at in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+                    yield batch(schema, [uri], [int(bucket[at[0]])], [_pack(b" ".join([chunk.words[i] for i in at.tolist()]))], [_pack(counts[at].astype("<u4").tobytes())])
 
-    return kernel(docs, run, "chunk string, bucket int, words binary, counts binary")
+    return kernel(chunks, run, "chunk string, bucket int, words binary, counts binary")
 
 
 def _count(words: DataFrame, buckets: int) -> DataFrame:
@@ -282,7 +294,9 @@ def word_features(chunk: _Tokens, now: np.ndarray, buckets: int) -> np.ndarray:
         label = now.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         for k, code in enumerate((one, one + mix64(two + np.uint64(1)), mix64(two + np.uint64(2)))):
             f = mix64(mix64(code + np.uint64(k)) + label)
-            out[k] = f >> np.uint64(64 - _feature_bits(buckets)) << np.uint64(WORD_BITS) | word
+            out[k] = f >> np.uint64(64 - _feature_bits(buckets)) << np.uint64(WORD_BITS)
+            if k != SKIP:
+                out[k] |= word
     return out
 
 
@@ -305,10 +319,9 @@ def _split(code: np.ndarray) -> list[np.ndarray]:
     return feature_rows(code // (side * side), code // side % side, code % side)
 
 
-def _observed(chunks: DataFrame, vocab: Vocabulary, buckets: int) -> DataFrame:
-    """One reading of the tokens: ``block, sums`` (observed counts of rows and classes, by task), ``codes, counts`` (a chunk's
-    distinct class histories) and ``chunk, bucket, codes, counts`` (its distinct word features, with counts in its training documents)."""
-    schema = pa.schema([("block", pa.int32()), ("sums", pa.binary()), ("codes", pa.binary()), ("counts", pa.binary()), ("chunk", pa.string()), ("bucket", pa.int32())])
+def _observed(chunks: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """One reading of the training tokens: ``block, sums`` (observed counts of rows and classes, by task) and ``codes, counts`` (a chunk's distinct class histories)."""
+    schema = pa.schema([("block", pa.int32()), ("sums", pa.binary()), ("codes", pa.binary()), ("counts", pa.binary())])
 
     def run(batches):
         out = np.zeros(ROWS * CLASSES)
@@ -316,31 +329,44 @@ def _observed(chunks: DataFrame, vocab: Vocabulary, buckets: int) -> DataFrame:
             for uri in b.column("chunk").to_pylist():
                 chunk = _Tokens(uri)
                 train = chunk.training()
-                classes = np.fromiter(map(vocab.class_of, chunk.words), np.int64, len(chunk.words))
-                now, code = _histories(chunk, classes)
-                features = word_features(chunk, now, buckets)
-                every = np.concatenate([np.sort(features[:, train], axis=None), np.sort(features[:, ~train], axis=None)])
-                n = np.zeros(len(every), np.int64)
-                n[: KINDS * int(train.sum())] = 1
-                order = np.argsort(every, kind="stable")  # two sorted runs
-                every, n = every[order], n[order]
-                head = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
-                every, n = every[head], np.add.reduceat(n, head)
-                ends = [0, *np.searchsorted(every, _edges(buckets)).tolist(), len(every)]
-                for k, (i, j) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
-                    if i < j:
-                        yield batch(schema, [None], [None], [_pack_ascending(every[i:j])], [_planes(n[i:j])], [uri], [k])
                 if not train.any():
                     continue
+                classes = np.fromiter(map(vocab.class_of, chunk.words), np.int64, len(chunk.words))
+                now, code = _histories(chunk, classes)
                 pairs, n = np.unique(code[train] * CLASSES + now[train], return_counts=True)
                 code, now = pairs // CLASSES, pairs % CLASSES
                 for rows in _split(code):
                     out += np.bincount(rows * CLASSES + now, n, ROWS * CLASSES)
                 head = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
-                yield batch(schema, [None], [None], [_pack(code[head].astype("<u4").tobytes())], [_pack(np.add.reduceat(n, head).astype("<u4").tobytes())], [None], [None])
+                yield batch(schema, [None], [None], [_pack(code[head].astype("<u4").tobytes())], [_pack(np.add.reduceat(n, head).astype("<u4").tobytes())])
         yield from _by_block(out.reshape(ROWS, CLASSES), schema)
 
-    return kernel(chunks, run, "block int, sums binary, codes binary, counts binary, chunk string, bucket int")
+    return kernel(chunks, run, "block int, sums binary, codes binary, counts binary")
+
+
+def _features(chunks: DataFrame, vocab: Vocabulary, buckets: int) -> DataFrame:
+    """``chunk, bucket, codes, counts``: a chunk's distinct word features with the word after them, and their counts in its training documents."""
+    schema = pa.schema([("chunk", pa.string()), ("bucket", pa.int32()), ("codes", pa.binary()), ("counts", pa.binary())])
+
+    def run(batches):
+        for b in batches:
+            for uri in b.column("chunk").to_pylist():
+                chunk = _Tokens(uri)
+                train = chunk.training()
+                classes = np.fromiter(map(vocab.class_of, chunk.words), np.int64, len(chunk.words))
+                features = word_features(chunk, classes[chunk.flat], buckets)
+                every, n = np.unique(features[:, train], return_counts=True)
+                if not train.all():
+                    others = np.setdiff1d(np.unique(features[:, ~train]), every, assume_unique=True)
+                    every, n = np.concatenate([every, others]), np.concatenate([n, np.zeros(len(others), np.int64)])
+                    order = np.argsort(every)
+                    every, n = every[order], n[order]
+                ends = [0, *np.searchsorted(every, _edges(buckets)).tolist(), len(every)]
+                for k, (i, j) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+                    if i < j:
+                        yield batch(schema, [uri], [k], [_pack_ascending(every[i:j])], [_planes(n[i:j])])
+
+    return kernel(chunks, run, "chunk string, bucket int, codes binary, counts binary")
 
 
 def _count_features(sent: DataFrame, buckets: int) -> DataFrame:
@@ -421,7 +447,7 @@ def train(observed: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> np.nd
     The rounds go over all distinct histories of each chunk with their counts.
     """
     seen = _added(observed.where("block is not null").select("block", "sums"))
-    contexts = observed.where("codes is not null and chunk is null").select("codes", "counts")
+    contexts = observed.where("codes is not null").select("codes", "counts")
     marginal = vocab.class_tokens + 1
     marginal = marginal / marginal.sum()
     weights = np.zeros((ROWS, CLASSES))
@@ -433,6 +459,26 @@ def train(observed: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> np.nd
     return weights
 
 
+def _rows(batches) -> Iterator[dict]:
+    for b in batches:
+        for k in range(b.num_rows):
+            yield b.slice(k, 1).to_pylist()[0]
+
+
+def _gathered(answers: DataFrame) -> DataFrame:
+    """``chunk, counts, joint, alone``: the buckets' answers of each chunk in one row, in the order of buckets."""
+    schema = pa.schema([("chunk", pa.string()), ("counts", pa.binary()), ("joint", pa.binary()), ("alone", pa.binary())])
+
+    def run(batches):
+        for uri, rows in _runs_by(batches, "chunk"):
+            rows.sort(key=lambda r: r["bucket"])
+            counts = np.concatenate([np.frombuffer(_unpack(r["counts"]), "<u8") for r in rows if r["counts"] is not None])
+            joint, alone = (_planes(np.concatenate([_from_planes(r[c]) for r in rows if r[c] is not None])) for c in ("joint", "alone"))
+            yield batch(schema, [uri], [_planes(counts)], [joint], [alone])
+
+    return kernel(answers, run, "chunk string, counts binary, joint binary, alone binary")
+
+
 @dataclass
 class Evidence:
     """What is known of each token of a chunk: its class, the class's probability under the fixed softmax and counts from training documents.
@@ -450,15 +496,12 @@ class Evidence:
     counts: np.ndarray
 
 
-def evidence(chunk: _Tokens, rows: list[dict], vocab: Vocabulary, weights: np.ndarray, buckets: int) -> Evidence:
-    """``rows`` are the buckets' answers to the chunk."""
+def evidence(chunk: _Tokens, answer: dict, vocab: Vocabulary, weights: np.ndarray, buckets: int) -> Evidence:
+    """``answer`` is the chunk's row of ``_gathered``."""
     classes = np.fromiter(map(vocab.class_of, chunk.words), np.int64, len(chunk.words))
     now, code = _histories(chunk, classes)
-    counts = np.zeros(len(chunk.words), np.int64)
-    bucket = _by_bucket(chunk.words, buckets)
-    for r in rows:
-        if r["counts"] is not None:
-            counts[bucket == r["bucket"]] = np.frombuffer(_unpack(r["counts"]), "<u8")
+    counts = np.empty(len(chunk.words), np.int64)
+    counts[np.argsort(_by_bucket(chunk.words, buckets), kind="stable")] = _from_planes(answer["counts"])
     code, back = np.unique(code, return_inverse=True)
     order = np.argsort(back, kind="stable")
     bounds = np.searchsorted(back[order], np.arange(0, len(code) + (1 << 14), 1 << 14))
@@ -466,9 +509,8 @@ def evidence(chunk: _Tokens, rows: list[dict], vocab: Vocabulary, weights: np.nd
     for k, i in enumerate(range(0, len(code), 1 << 14)):
         at = order[bounds[k] : bounds[k + 1]]
         fixed[at] = np.exp(log_probabilities(weights, _split(code[i : i + (1 << 14)])))[back[at] - i, now[at]]
-    told = sorted((r for r in rows if r["joint"] is not None), key=lambda r: r["bucket"])
-    distinct, at = np.unique(word_features(chunk, now, buckets), return_inverse=True)
-    joint, alone = (np.concatenate([_from_planes(r[c]) for r in told])[at.reshape(KINDS, -1)] for c in ("joint", "alone"))
+    _, at = np.unique(word_features(chunk, now, buckets), return_inverse=True)
+    joint, alone = (_from_planes(answer[c])[at.reshape(KINDS, -1)] for c in ("joint", "alone"))
     word = counts[chunk.flat]
     # A document's start is counted as often as its end.  Before its second token there is no pair of words.
     ends = counts[chunk.flat[chunk.sizes[0] - 1]]
@@ -489,6 +531,7 @@ def experts(known: Evidence, vocab: Vocabulary, own: np.ndarray | int = 0) -> tu
     p[0, 0] = known.fixed
     p[1, 0] = (known.word - own + 1) / (vocab.class_tokens[known.now] + vocab.class_types[known.now] - own + 1)
     p[0, 1:] = np.minimum(alone / np.maximum(before, 1), 1) * (before > 0)
+    alone[SKIP] = 0  # skips know nothing of words
     p[1, 1:] = np.minimum(joint / np.maximum(alone, 1), 1) * (alone > 0)
     return p, np.stack([before, alone])
 
@@ -523,12 +566,12 @@ def _gate_cases(answers: DataFrame, vocab: Vocabulary, weights: np.ndarray, buck
     schema = pa.schema([("codes", pa.binary()), ("counts", pa.binary())])
 
     def run(batches):
-        for uri, rows in _runs_by(batches, "chunk"):
-            chunk = _Tokens(uri)
+        for answer in _rows(batches):
+            chunk = _Tokens(answer["chunk"])
             train = chunk.training()
             if not train.any():
                 continue
-            p, contexts = experts(evidence(chunk, rows, vocab, weights, buckets), vocab, train.astype(np.int64))
+            p, contexts = experts(evidence(chunk, answer, vocab, weights, buckets), vocab, train.astype(np.int64))
             bins = context_bins(contexts)
             found = []
             for factor in range(2):
@@ -602,17 +645,15 @@ def scores(docs: DataFrame) -> DataFrame:
     whole = id_text(docs)
     total = whole.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-int(total) // BUCKET))
-    words = stored(_chunk_words(whole, shared_dir(spark), buckets))
-    chunks = stored(words.select("chunk").distinct())
+    chunks = stored(_cut(whole, shared_dir(spark)))
     n = max(1, chunks.count())
-    counted = stored(_count(words, buckets))
+    tasks = min(n, 4 * spark.sparkContext.defaultParallelism)
+    counted = stored(_count(_chunk_words(chunks.repartition(tasks), buckets), buckets))
     vocab = _vocabulary(counted)
-    observed = stored(_observed(chunks.repartition(min(n, 4 * spark.sparkContext.defaultParallelism)), vocab, buckets))
-    weights = train(observed, vocab).astype(np.float32)
-    told = _count_features(observed.where("chunk is not null").select("chunk", "bucket", "codes", "counts"), buckets)
+    weights = train(stored(_observed(chunks.repartition(tasks), vocab)), vocab).astype(np.float32)
+    told = _count_features(_features(chunks.repartition(tasks), vocab, buckets), buckets)
     answers = counted.where("chunk is not null").select("chunk", "bucket", "counts").unionByName(told, allowMissingColumns=True)
-    answers = stored(answers.repartition(n, "chunk").sortWithinPartitions("chunk"))
-    answers = answers.repartition(n, "chunk").sortWithinPartitions("chunk")
+    answers = stored(_gathered(answers.repartition(n, "chunk").sortWithinPartitions("chunk"))).repartition(tasks)
     theta, _ = train_gate(stored(_gate_cases(answers, vocab, weights, buckets)))
     base_log = math.log10(vocab.tokens + vocab.types + 1)
     names = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, left_out_score double"
@@ -620,9 +661,9 @@ def scores(docs: DataFrame) -> DataFrame:
     schema = pa.schema([(c, kinds[k]) for c, k in (x.split() for x in names.split(", "))])
 
     def run(batches):
-        for uri, rows in _runs_by(batches, "chunk"):
-            chunk = _Tokens(uri)
-            known = evidence(chunk, rows, vocab, weights, buckets)
+        for answer in _rows(batches):
+            chunk = _Tokens(answer["chunk"])
+            known = evidence(chunk, answer, vocab, weights, buckets)
             counts = known.counts
             model = mixed(known, vocab, theta)
             apart = mixed(known, vocab, theta, chunk.training().astype(np.int64))

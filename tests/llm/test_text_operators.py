@@ -315,20 +315,39 @@ def test_language_model_learns_word_features(spark):
     assert min(double) > max(single)
 
 
-def test_language_model_experts_are_distributions():
-    """The words of a class share each expert's probability 1, and gates share 1."""
+def test_language_model_evidence_against_counts(spark, tmp_path):
+    """Counts of words and features, through files and buckets, against plain counting; gates share 1."""
     rng = random.Random(5)
-    texts = [" ".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(1, 30))).encode() for _ in range(50)]
-    flat, sizes, words = lmscore._number(texts)
-    pairs, after = collections.Counter(), collections.Counter()
-    for i, j in zip(np.cumsum(sizes) - sizes, np.cumsum(sizes), strict=True):
-        for a, b in zip(flat[i:j], flat[i + 1 : j], strict=False):
-            pairs[a, lmscore.tail_class(words[b]), b] += 1
-            after[a, lmscore.tail_class(words[b])] += 1
-    sums = collections.Counter()
-    for (a, c, _), n in pairs.items():
-        sums[a, c] += n / after[a, c]
-    assert all(x == pytest.approx(1) for x in sums.values())
+    data = [(i, " ".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(0, 30)))) for i in range(60)]
+    chunks = lmscore.stored(lmscore._cut(spark.createDataFrame(data, "doc_id long, text string").coalesce(2), f"file://{tmp_path}/x"))
+    counted = lmscore.stored(lmscore._count(lmscore._chunk_words(chunks, 3), 3))
+    vocab = lmscore._vocabulary(counted)
+    told = lmscore._count_features(lmscore._features(chunks, vocab, 3), 3)
+    both = counted.where("chunk is not null").select("chunk", "bucket", "counts").unionByName(told, allowMissingColumns=True)
+    answers = lmscore._gathered(both.repartition(2, "chunk").sortWithinPartitions("chunk")).collect()
+    words = {i: [None, None, *lmscore.tokens(t.encode())] for i, t in data}
+    joint, alone = collections.Counter(), collections.Counter()
+    for i, ws in words.items():
+        for k in range(2, len(ws)) if not lmscore.held_out(i) else ():
+            for kind, feature in enumerate((ws[k - 1], (ws[k - 2], ws[k - 1]), ws[k - 2])):
+                joint[kind, feature, ws[k]] += 1
+                alone[kind, feature, vocab.class_of(ws[k])] += 1
+    weights = np.zeros((lmscore.ROWS, lmscore.CLASSES), np.float32)
+    for r in answers:
+        chunk = lmscore._Tokens(r["chunk"])
+        known = lmscore.evidence(chunk, r.asDict(), vocab, weights, 3)
+        at = 0
+        for i in chunk.ids:
+            ws = words[i]
+            for k in range(2, len(ws)):
+                first = k == 2  # has a bigram with the start only
+                for kind, feature in enumerate((ws[k - 1], (ws[k - 2], ws[k - 1]), ws[k - 2])):
+                    if kind and first:
+                        continue
+                    if kind < 2:
+                        assert known.joint[kind, at] == joint[kind, feature, ws[k]]
+                    assert known.alone[kind, at] == alone[kind, feature, vocab.class_of(ws[k])]
+                at += 1
     theta = np.random.default_rng(1).normal(size=(lmscore.KINDS, lmscore.BINS + 1))
     bins = np.random.default_rng(2).integers(0, lmscore.BINS + 1, (lmscore.KINDS, 200))
     share = lmscore.gates(theta, bins)
