@@ -1,24 +1,22 @@
 """Language-model scores: hashed maximum entropy with a class-factored softmax.
 
-``P(word | history) = P(class | history) * P(word | class, history)``.
-
-* Classes: each of the ``HEAD`` most frequent tokens has its own; other words are dealt by a hash of
-  their last two bytes over ``TAIL`` classes (endings tell languages and kinds of words apart).
-* Each factor mixes four experts by a softmax gate: a softmax of fixed size, and the corpus's word
-  features, bigrams (1), trigrams (1, 2) and skips (2).
-* The fixed softmax over classes is a maximum-entropy model over the three *classes* before: n-grams
-  (1), (1, 2) and skips (2), (3), (1, 3), hashed into ``ROWS`` rows of one weight per class.  It
-  starts as the bigram model (the exact fit of feature (1) alone) and is trained by ``ROUNDS``
-  distributed gradient updates.  Within a class it is add-one over its words, ``(c + 1) / (N_class + V_class + 1)``.
-* Word features are the words before, with the class of the next one, hashed into 26 bits for each
-  bucket of 8 MB of text, so their number grows with the corpus; the next word is hashed into 20 bits.
-  Skips tell the class only.
-  Each feature's softmax over the words that follow it has the maximum-likelihood solution of one
-  weight per feature and word: relative counts.  Words without that feature have weight minus infinity,
-  which the gate makes good.  Colliding hashes share their counts.
+``P(word | history)`` mixes three experts by a softmax gate: the class-factored softmax, and the corpus's
+word bigrams and trigrams.
+
+* The class-factored softmax is ``P(class | history) * P(word | class)``.  Each of the ``HEAD`` most frequent
+  tokens has a class of its own; other words are dealt by a hash of their last two bytes over ``TAIL`` classes
+  (endings tell languages and kinds of words apart).
+* ``P(class | history)`` is a maximum-entropy model over the three *classes* before: n-grams (1), (1, 2) and
+  skips (2), (3), (1, 3), hashed into ``ROWS`` rows of one weight per class.  It starts as the bigram
+  model (the exact fit of feature (1) alone) and is trained by ``ROUNDS`` distributed gradient updates.
+  ``P(word | class) = (c + 1) / (N_class + V_class + 1)``.
+* A word feature is a word or a pair of words before with the word after, hashed into 32 bits for each bucket of
+  8 MB of text, so their number grows with the corpus.  The softmax of a context over the words that follow
+  it has the maximum-likelihood solution of one weight per feature: relative counts.  Words never seen there
+  have weight minus infinity, which the gate makes good.  Colliding hashes share their counts.
 * The gate's features are the counts of each context (in powers of two).  It is trained by ``GATE_ROUNDS``
   distributed updates of scaling on the leave-one-out likelihood of every training token: a token's own
-  occurrence is taken out of the counts first.  In a score nothing is taken out.
+  occurrence is taken out of the counts first.
 
 No task, broadcast or driver holds the vocabulary or the features: each chunk of documents sends its
 distinct words and features to buckets and gets back their counts.  Chunks are files in the shared
@@ -57,11 +55,10 @@ PRIOR = 2.0
 BLOCKS = 16
 #: Bytes of text in a chunk.
 CHUNK = 6 << 20
-#: Bits of a word feature's hash for one bucket (each doubling of buckets adds one), and of the word after it.
-FEATURE_BITS, WORD_BITS = 26, 20
-#: Kinds of word features: bigram, trigram, skip (of the class only).
-KINDS = 3
-SKIP = 2
+#: Bits of a word feature's hash for one bucket; each doubling of buckets adds one.
+FEATURE_BITS = 32
+#: Kinds of word features: bigram, trigram.
+KINDS = 2
 BINS = 8
 GATE_ROUNDS = 8
 END = b"\n"  # no word has this byte
@@ -280,30 +277,26 @@ def _histories(chunk: _Tokens, classes: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _feature_bits(buckets: int) -> int:
-    return min(64 - WORD_BITS, FEATURE_BITS + (buckets - 1).bit_length())
+    return min(64, FEATURE_BITS + (buckets - 1).bit_length())
 
 
-def word_features(chunk: _Tokens, now: np.ndarray, buckets: int) -> np.ndarray:
-    """``KINDS`` rows of hashed features with the word after them: the feature in the upper bits, the word in the lower."""
+def word_features(chunk: _Tokens, buckets: int) -> np.ndarray:
+    """``KINDS`` rows of hashed features: the words before each token, and the token."""
     hashed = np.fromiter(map(xxhash.xxh64_intdigest, chunk.words), np.uint64, len(chunk.words))[chunk.flat]
     start = np.uint64(0x5BD1E9955BD1E995)
     one, two = chunk.before(hashed, start, 1), chunk.before(hashed, start, 2)
-    word = hashed >> np.uint64(64 - WORD_BITS)
-    out = np.empty((KINDS, len(now)), np.uint64)
+    out = np.empty((KINDS, len(hashed)), np.uint64)
     with np.errstate(over="ignore"):
-        label = now.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        for k, code in enumerate((one, one + mix64(two + np.uint64(1)), mix64(two + np.uint64(2)))):
-            f = mix64(mix64(code + np.uint64(k)) + label)
-            out[k] = f >> np.uint64(64 - _feature_bits(buckets)) << np.uint64(WORD_BITS)
-            if k != SKIP:
-                out[k] |= word
+        one = hashed * np.uint64(0x9E3779B97F4A7C15) + mix64(one)
+        for k, code in enumerate((one, mix64(one) + two)):
+            out[k] = mix64(code) >> np.uint64(64 - _feature_bits(buckets))
     return out
 
 
 def _edges(buckets: int) -> np.ndarray:
     """First feature of each bucket but the first."""
     whole = 1 << _feature_bits(buckets)
-    return np.array([k * whole // buckets << WORD_BITS for k in range(1, buckets)], np.uint64)
+    return np.array([k * whole // buckets for k in range(1, buckets)], np.uint64)
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -344,8 +337,8 @@ def _observed(chunks: DataFrame, vocab: Vocabulary) -> DataFrame:
     return kernel(chunks, run, "block int, sums binary, codes binary, counts binary")
 
 
-def _features(chunks: DataFrame, vocab: Vocabulary, buckets: int) -> DataFrame:
-    """``chunk, bucket, codes, counts``: a chunk's distinct word features with the word after them, and their counts in its training documents."""
+def _features(chunks: DataFrame, buckets: int) -> DataFrame:
+    """``chunk, bucket, codes, counts``: a chunk's distinct word features, and their counts in its training documents."""
     schema = pa.schema([("chunk", pa.string()), ("bucket", pa.int32()), ("codes", pa.binary()), ("counts", pa.binary())])
 
     def run(batches):
@@ -353,8 +346,7 @@ def _features(chunks: DataFrame, vocab: Vocabulary, buckets: int) -> DataFrame:
             for uri in b.column("chunk").to_pylist():
                 chunk = _Tokens(uri)
                 train = chunk.training()
-                classes = np.fromiter(map(vocab.class_of, chunk.words), np.int64, len(chunk.words))
-                features = word_features(chunk, classes[chunk.flat], buckets)
+                features = word_features(chunk, buckets)
                 every, n = np.unique(features[:, train], return_counts=True)
                 if not train.all():
                     others = np.setdiff1d(np.unique(features[:, ~train]), every, assume_unique=True)
@@ -370,29 +362,22 @@ def _features(chunks: DataFrame, vocab: Vocabulary, buckets: int) -> DataFrame:
 
 
 def _count_features(sent: DataFrame, buckets: int) -> DataFrame:
-    """``chunk, bucket, joint, alone``: counts of a chunk's features with their words, and of the features, over all training tokens."""
-    schema = pa.schema([("chunk", pa.string()), ("bucket", pa.int32()), ("joint", pa.binary()), ("alone", pa.binary())])
+    """``chunk, bucket, joint``: counts of a chunk's features over all training tokens."""
+    schema = pa.schema([("chunk", pa.string()), ("bucket", pa.int32()), ("joint", pa.binary())])
 
     def run(batches):
         for bucket, rows in _runs_by(batches, "bucket"):
             parts = [_unpack_ascending(r["codes"]) for r in rows]
-            every = np.concatenate(parts)
             n = np.concatenate([_from_planes(r["counts"]) for r in rows])
             names = [r["chunk"] for r in rows]
             rows.clear()
-            order = np.argsort(every, kind="stable")
-            every, n = every[order], n[order]
-            del order
-            head = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
-            every, joint = every[head], np.add.reduceat(n, head)
-            feature = every >> np.uint64(WORD_BITS)
-            new = np.concatenate([[True], feature[1:] != feature[:-1]])
-            alone = np.add.reduceat(joint, np.flatnonzero(new))[np.cumsum(new) - 1]
-            for uri, part in zip(names, parts, strict=True):
-                at = np.searchsorted(every, part)
-                yield batch(schema, [uri], [bucket], [_planes(joint[at])], [_planes(alone[at])])
+            every, back = np.unique(np.concatenate(parts), return_inverse=True)
+            joint = np.bincount(back, n, len(every)).astype(np.int64)[back]
+            ends = np.cumsum([len(x) for x in parts])
+            for uri, i, j in zip(names, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                yield batch(schema, [uri], [bucket], [_planes(joint[i:j])])
 
-    return kernel(sent.repartition(buckets, "bucket").sortWithinPartitions("bucket"), run, "chunk string, bucket int, joint binary, alone binary")
+    return kernel(sent.repartition(buckets, "bucket").sortWithinPartitions("bucket"), run, "chunk string, bucket int, joint binary")
 
 
 def _by_block(table: np.ndarray, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -466,32 +451,31 @@ def _rows(batches) -> Iterator[dict]:
 
 
 def _gathered(answers: DataFrame) -> DataFrame:
-    """``chunk, counts, joint, alone``: the buckets' answers of each chunk in one row, in the order of buckets."""
-    schema = pa.schema([("chunk", pa.string()), ("counts", pa.binary()), ("joint", pa.binary()), ("alone", pa.binary())])
+    """``chunk, counts, joint``: the buckets' answers of each chunk in one row, in the order of buckets."""
+    schema = pa.schema([("chunk", pa.string()), ("counts", pa.binary()), ("joint", pa.binary())])
 
     def run(batches):
         for uri, rows in _runs_by(batches, "chunk"):
             rows.sort(key=lambda r: r["bucket"])
             counts = np.concatenate([np.frombuffer(_unpack(r["counts"]), "<u8") for r in rows if r["counts"] is not None])
-            joint, alone = (_planes(np.concatenate([_from_planes(r[c]) for r in rows if r[c] is not None])) for c in ("joint", "alone"))
-            yield batch(schema, [uri], [_planes(counts)], [joint], [alone])
+            joint = np.concatenate([_from_planes(r["joint"]) for r in rows if r["joint"] is not None])
+            yield batch(schema, [uri], [_planes(counts)], [_planes(joint)])
 
-    return kernel(answers, run, "chunk string, counts binary, joint binary, alone binary")
+    return kernel(answers, run, "chunk string, counts binary, joint binary")
 
 
 @dataclass
 class Evidence:
-    """What is known of each token of a chunk: its class, the class's probability under the fixed softmax and counts from training documents.
+    """What is known of each token of a chunk: its class, the class's probability under the softmax, and counts from training documents.
 
-    ``joint`` and ``alone`` are the counts of its word features (rows: kinds) with and without the token itself, ``before`` those
-    of the words before it (0: there are none), ``counts`` those of the chunk's distinct words.
+    ``joint`` are the counts of its word features (rows: kinds), ``before`` those of their contexts, the words before (0: there
+    are none), ``counts`` those of the chunk's distinct words, ``word`` the token's.
     """
 
     now: np.ndarray
     fixed: np.ndarray
     word: np.ndarray
     joint: np.ndarray
-    alone: np.ndarray
     before: np.ndarray
     counts: np.ndarray
 
@@ -502,67 +486,54 @@ def evidence(chunk: _Tokens, answer: dict, vocab: Vocabulary, weights: np.ndarra
     now, code = _histories(chunk, classes)
     counts = np.empty(len(chunk.words), np.int64)
     counts[np.argsort(_by_bucket(chunk.words, buckets), kind="stable")] = _from_planes(answer["counts"])
-    code, back = np.unique(code, return_inverse=True)
-    order = np.argsort(back, kind="stable")
-    bounds = np.searchsorted(back[order], np.arange(0, len(code) + (1 << 14), 1 << 14))
-    fixed = np.empty(len(now))
-    for k, i in enumerate(range(0, len(code), 1 << 14)):
-        at = order[bounds[k] : bounds[k + 1]]
-        fixed[at] = np.exp(log_probabilities(weights, _split(code[i : i + (1 << 14)])))[back[at] - i, now[at]]
-    _, at = np.unique(word_features(chunk, now, buckets), return_inverse=True)
-    joint, alone = (_from_planes(answer[c])[at.reshape(KINDS, -1)] for c in ("joint", "alone"))
+    pairs, back = np.unique(code * CLASSES + now, return_inverse=True)
+    code, kind = pairs // CLASSES, pairs % CLASSES
+    new = np.concatenate([[True], code[1:] != code[:-1]])
+    history, at = code[new], np.cumsum(new) - 1
+    fixed = np.empty(len(pairs))
+    for i in range(0, len(history), 1 << 14):
+        part = slice(*np.searchsorted(at, [i, i + (1 << 14)]).tolist())
+        fixed[part] = np.exp(log_probabilities(weights, _split(history[i : i + (1 << 14)]))[at[part] - i, kind[part]])
+    _, at = np.unique(word_features(chunk, buckets), return_inverse=True)
+    joint = _from_planes(answer["joint"])[at.reshape(KINDS, -1)]
     word = counts[chunk.flat]
     # A document's start is counted as often as its end.  Before its second token there is no pair of words.
-    ends = counts[chunk.flat[chunk.sizes[0] - 1]]
-    before = np.stack([chunk.before(word, ends, 1), chunk.before(joint[0], 0, 1), chunk.before(word, ends, 2)])
-    before[1:, chunk.starts] = 0
-    alone[1:, chunk.starts] = 0
-    return Evidence(now, fixed, word, joint, alone, before, counts)
+    before = np.stack([chunk.before(word, counts[chunk.flat[chunk.sizes[0] - 1]], 1), chunk.before(joint[0], 0, 1)])
+    return Evidence(now, fixed[back], word, joint, before, counts)
 
 
 def experts(known: Evidence, vocab: Vocabulary, own: np.ndarray | int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """``probabilities`` and ``contexts``, arrays of factor (class, word), expert and token.
+    """``probabilities`` (class-factored softmax, bigram, trigram by token) and ``bins`` of the latter two's contexts (0: the expert knows nothing).
 
-    Experts stand as fixed softmax, bigram, trigram, skip; ``contexts`` are the counts of the latter three's contexts (0: the
-    expert knows nothing).  ``own`` (0 or 1 for each token) is taken out of the counts.
+    ``own`` (0 or 1 for each token) is taken out of the counts.
     """
-    joint, alone, before = (np.maximum(x - own, 0) for x in (known.joint, known.alone, known.before))
-    p = np.zeros((2, KINDS + 1, len(known.now)))
-    p[0, 0] = known.fixed
-    p[1, 0] = (known.word - own + 1) / (vocab.class_tokens[known.now] + vocab.class_types[known.now] - own + 1)
-    p[0, 1:] = np.minimum(alone / np.maximum(before, 1), 1) * (before > 0)
-    alone[SKIP] = 0  # skips know nothing of words
-    p[1, 1:] = np.minimum(joint / np.maximum(alone, 1), 1) * (alone > 0)
-    return p, np.stack([before, alone])
-
-
-def mixed(known: Evidence, vocab: Vocabulary, theta: np.ndarray, own: np.ndarray | int = 0) -> np.ndarray:
-    """Base-10 logarithm of each token's probability."""
-    p, contexts = experts(known, vocab, own)
-    bins = context_bins(contexts)
-    return sum(np.log10((gates(theta[k], bins[k]) * p[k]).sum(0)) for k in range(2))
-
-
-def context_bins(contexts: np.ndarray) -> np.ndarray:
-    """0 without a context, else 1 to ``BINS`` by the power of two below its count."""
-    return np.where(contexts > 0, np.minimum(np.frexp(np.maximum(contexts, 1).astype(np.float64))[1], BINS), 0)
+    joint, before = np.maximum(known.joint - own, 0), np.maximum(known.before - own, 0)
+    p = np.empty((KINDS + 1, len(known.now)))
+    p[0] = known.fixed * (known.word - own + 1) / (vocab.class_tokens[known.now] + vocab.class_types[known.now] - own + 1)
+    p[1:] = np.minimum(joint / np.maximum(before, 1), 1) * (before > 0)
+    return p, np.minimum(np.frexp(before.astype(np.float64))[1], BINS)
 
 
 def gates(theta: np.ndarray, bins: np.ndarray) -> np.ndarray:
-    """Shares of the experts (rows) for each token of one factor; an expert without context has none."""
-    z = np.zeros((KINDS + 1, bins.shape[1]))
+    """Shares of the experts (rows) for each token; an expert without context has none."""
+    z = np.ones((KINDS + 1, bins.shape[1]))
     for k in range(KINDS):
-        z[k + 1] = np.where(bins[k] > 0, theta[k][bins[k]], -np.inf)
-    z = np.exp(z - z.max(0))
+        z[k + 1] = np.concatenate([[0], np.exp(theta[k, 1:])])[bins[k]]
     return z / z.sum(0)
 
 
+def mixed(known: Evidence, vocab: Vocabulary, theta: np.ndarray, own: np.ndarray | int = 0) -> np.ndarray:
+    """Base-10 logarithm of each token's probability."""
+    p, bins = experts(known, vocab, own)
+    return np.log10((gates(theta, bins) * p).sum(0))
+
+
 #: Levels of an expert's probability in relation to the fixed softmax, in half nats from -8; 0 is probability 0.
 _LEVELS = 64
 
 
 def _gate_cases(answers: DataFrame, vocab: Vocabulary, weights: np.ndarray, buckets: int) -> DataFrame:
-    """``codes, counts``: distinct cases (factor, bins, levels) of each chunk's training tokens, their own occurrences taken out."""
+    """``codes, counts``: distinct cases (bins, levels) of each chunk's training tokens, their own occurrences taken out."""
     schema = pa.schema([("codes", pa.binary()), ("counts", pa.binary())])
 
     def run(batches):
@@ -571,18 +542,13 @@ def _gate_cases(answers: DataFrame, vocab: Vocabulary, weights: np.ndarray, buck
             train = chunk.training()
             if not train.any():
                 continue
-            p, contexts = experts(evidence(chunk, answer, vocab, weights, buckets), vocab, train.astype(np.int64))
-            bins = context_bins(contexts)
-            found = []
-            for factor in range(2):
-                code = np.full(int(train.sum()), factor, np.int64)
-                first = p[factor, 0, train]
-                for k in range(KINDS):
-                    q = p[factor, k + 1, train]
-                    level = np.clip(np.rint(2 * np.log(np.maximum(q, 1e-300) / first)) + 17, 1, _LEVELS - 1)
-                    code = (code * (BINS + 1) + bins[factor, k, train]) * _LEVELS + np.where(q > 0, level, 0).astype(np.int64)
-                found.append(np.unique(code, return_counts=True))
-            codes, n = (np.concatenate(x) for x in zip(*found, strict=True))
+            p, bins = experts(evidence(chunk, answer, vocab, weights, buckets), vocab, train.astype(np.int64))
+            code = np.zeros(int(train.sum()), np.int64)
+            for k in range(KINDS):
+                q = p[k + 1, train]
+                level = np.clip(np.rint(2 * np.log(np.maximum(q, 1e-300) / p[0, train])) + 17, 1, _LEVELS - 1)
+                code = (code * (BINS + 1) + bins[k, train]) * _LEVELS + np.where(q > 0, level, 0).astype(np.int64)
+            codes, n = np.unique(code, return_counts=True)
             yield batch(schema, [_planes(codes)], [_planes(n)])
 
     return kernel(answers, run, "codes binary, counts binary")
@@ -593,7 +559,7 @@ def _gate_sums(cases: DataFrame, theta: np.ndarray) -> DataFrame:
     schema = pa.schema([("cell", pa.int32()), ("got", pa.float64()), ("given", pa.float64())])
 
     def run(batches):
-        got, given, likelihood = np.zeros((2, KINDS, BINS + 1)), np.zeros((2, KINDS, BINS + 1)), 0.0
+        got, given, likelihood = np.zeros((KINDS, BINS + 1)), np.zeros((KINDS, BINS + 1)), 0.0
         for b in batches:
             for codes, counts in zip(b.column("codes").to_pylist(), b.column("counts").to_pylist(), strict=True):
                 code, n = _from_planes(codes), _from_planes(counts)
@@ -602,15 +568,13 @@ def _gate_sums(cases: DataFrame, theta: np.ndarray) -> DataFrame:
                     level, code = code % _LEVELS, code // _LEVELS
                     bins[k], code = code % (BINS + 1), code // (BINS + 1)
                     ratio[k + 1] = np.where(level > 0, np.exp((level - 17) / 2), 0)
-                for factor in range(2):
-                    at = code == factor
-                    share = gates(theta[factor], bins[:, at])
-                    post = share * ratio[:, at]
-                    likelihood += float(np.log(post.sum(0)) @ n[at])
-                    post /= post.sum(0)
-                    for k in range(KINDS):
-                        got[factor, k] += np.bincount(bins[k, at], post[k + 1] * n[at], BINS + 1)
-                        given[factor, k] += np.bincount(bins[k, at], share[k + 1] * n[at], BINS + 1)
+                share = gates(theta, bins)
+                post = share * ratio
+                total = post.sum(0)
+                likelihood += float(np.log(total) @ n)
+                for k in range(KINDS):
+                    got[k] += np.bincount(bins[k], post[k + 1] / total * n, BINS + 1)
+                    given[k] += np.bincount(bins[k], share[k + 1] * n, BINS + 1)
         size = got.size
         yield batch(schema, [-1, *range(size)], [likelihood, *got.ravel()], [0.0, *given.ravel()])
 
@@ -618,8 +582,8 @@ def _gate_sums(cases: DataFrame, theta: np.ndarray) -> DataFrame:
 
 
 def train_gate(cases: DataFrame, rounds: int = GATE_ROUNDS) -> tuple[np.ndarray, list[float]]:
-    """Weights of the gate (factor, expert, bin), and the leave-one-out gain in nats over the fixed softmaxes before each round."""
-    theta = np.full((2, KINDS, BINS + 1), -1.0)
+    """Weights of the gate (expert, bin), and the leave-one-out gain in nats over the class-factored softmax before each round."""
+    theta = np.full((KINDS, BINS + 1), -1.0)
     gains = []
     for _ in range(rounds):
         got, given = np.zeros(theta.size), np.zeros(theta.size)
@@ -651,7 +615,7 @@ def scores(docs: DataFrame) -> DataFrame:
     counted = stored(_count(_chunk_words(chunks.repartition(tasks), buckets), buckets))
     vocab = _vocabulary(counted)
     weights = train(stored(_observed(chunks.repartition(tasks), vocab)), vocab).astype(np.float32)
-    told = _count_features(_features(chunks.repartition(tasks), vocab, buckets), buckets)
+    told = _count_features(_features(chunks.repartition(tasks), buckets), buckets)
     answers = counted.where("chunk is not null").select("chunk", "bucket", "counts").unionByName(told, allowMissingColumns=True)
     answers = stored(_gathered(answers.repartition(n, "chunk").sortWithinPartitions("chunk"))).repartition(tasks)
     theta, _ = train_gate(stored(_gate_cases(answers, vocab, weights, buckets)))
