@@ -31,10 +31,11 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 import zstandard
 from pyarrow import fs
 from pyspark.sql import DataFrame
@@ -53,6 +54,8 @@ ROUNDS = 3
 STEP = 0.5
 PRIOR = 2.0
 BLOCKS = 16
+#: Class histories of a block.
+_HISTORIES = -(-((CLASSES + 1) ** 3) // BLOCKS)
 #: Bytes of text in a chunk.
 CHUNK = 6 << 20
 #: Bits of a word feature's hash for one bucket; each doubling of buckets adds one.
@@ -62,6 +65,7 @@ KINDS = 2
 BINS = 8
 GATE_ROUNDS = 8
 END = b"\n"  # no word has this byte
+_SPACES = np.isin(np.arange(256), list(b"\t\n\v\f\r "))
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -89,22 +93,81 @@ class Vocabulary:
     class_tokens: np.ndarray
     class_types: np.ndarray
 
-    def class_of(self, word: bytes) -> int:
-        k = self.head.get(word)
-        return HEAD + tail_class(word) if k is None else k
+    def classes(self, words: pa.LargeBinaryArray) -> np.ndarray:
+        """The class of each of ``words`` (none is empty)."""
+        out = HEAD + tail_classes(words)
+        at = pc.index_in(words, pa.array(self.head, pa.large_binary()))
+        known = np.flatnonzero(at.is_valid())
+        out[known] = np.array(list(self.head.values()), np.int64)[at.drop_null()]
+        return out
 
 
-def _number(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """Token numbers of documents end to end, their numbers of tokens, and the distinct tokens in order of appearance."""
-    number: dict[bytes, int] = {}
-    docs = []
-    for raw in texts:
-        words = tokens(raw)
-        docs.append(np.array([number.setdefault(w, len(number)) for w in words], np.uint32))
-    return np.concatenate(docs), np.array([len(d) for d in docs]), list(number)
+@cache
+def _endings() -> np.ndarray:
+    """Classes of all endings: those of one byte, then those of two."""
+    return np.array([tail_class(bytes(e)) for e in [*((b,) for b in range(256)), *((a, b) for a in range(256) for b in range(256))]])
+
+
+def _flat(words: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word ends (first 0), and all bytes end to end."""
+    ends = np.frombuffer(words.buffers()[1], "<i8")[words.offset : words.offset + len(words) + 1]
+    return ends - ends[0], np.frombuffer(words.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+
+
+def tail_classes(words: pa.LargeBinaryArray) -> np.ndarray:
+    """``tail_class`` of each of ``words``; none is empty."""
+    ends, data = _flat(words)
+    last, other = data[ends[1:] - 1].astype(np.int64), data[ends[1:] - 2].astype(np.int64)
+    return _endings()[np.where(np.diff(ends) > 1, 256 + 256 * other + last, last)]
+
+
+def word_hashes(words: pa.LargeBinaryArray) -> np.ndarray:
+    """A 64-bit hash of each of ``words`` (none is empty): a polynomial over mixed bytes, mixed."""
+    ends, data = _flat(words)
+    sizes = np.diff(ends)
+    powers = np.full(int(sizes.max(initial=1)), 0x9E3779B97F4A7C15, np.uint64)
+    with np.errstate(over="ignore"):
+        powers = np.multiply.accumulate(powers)
+        terms = mix64(np.arange(1, 257))[data] * powers[np.arange(len(data)) - np.repeat(ends[:-1], sizes)]
+        return mix64(np.add.reduceat(terms, ends[:-1])) if len(words) else np.zeros(0, np.uint64)
+
+
+def _joined(words: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of ``words`` with a space after each, and where each then ends (first 0)."""
+    ends, data = _flat(words)
+    out = np.full(len(data) + len(words), 32, np.uint8)
+    out[np.arange(len(data)) + np.repeat(np.arange(len(words)), np.diff(ends))] = data
+    return out, ends + np.arange(len(ends))
 
 
-def _write_tokens(folder: str, ids: list, flat: np.ndarray, sizes: np.ndarray, words: list[bytes]) -> str:
+def _parted(raw: bytes) -> pa.LargeBinaryArray:
+    """The words of ``_joined``."""
+    data = np.frombuffer(raw, np.uint8)
+    space = data == 32
+    return _binary(np.diff(np.flatnonzero(space), prepend=-1) - 1, data[~space])
+
+
+def _binary(sizes: np.ndarray, data: np.ndarray) -> pa.LargeBinaryArray:
+    """The byte strings of ``sizes`` that stand in ``data`` end to end."""
+    ends = np.concatenate([[0], np.cumsum(sizes)]).astype("<i8")
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+
+
+def _number(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, pa.LargeBinaryArray]:
+    """Token numbers of documents end to end, their numbers of tokens, and the distinct tokens in order of appearance."""
+    data = np.frombuffer(b"".join(raw.lower() + END for raw in texts), np.uint8)
+    space = _SPACES[data]
+    edges = np.flatnonzero(np.diff(space, prepend=True))  # each text ends in white space: starts and ends take turns
+    starts, ends = edges[::2], edges[1::2]
+    coded = _binary(ends - starts, data[~space]).dictionary_encode()
+    words = pa.concat_arrays([coded.dictionary, pa.array([END], pa.large_binary())])
+    stops = np.cumsum([len(raw) + 1 for raw in texts])
+    upto = np.searchsorted(starts, stops)
+    flat = np.insert(coded.indices.to_numpy().astype(np.uint32), upto, len(words) - 1)
+    return flat, np.diff(upto, prepend=0) + 1, words
+
+
+def _write_tokens(folder: str, ids: list, flat: np.ndarray, sizes: np.ndarray, words: pa.LargeBinaryArray) -> str:
     where, base = fs.FileSystem.from_uri(folder)
     where.create_dir(base, recursive=True)
     name = uuid.uuid4().hex
@@ -113,7 +176,7 @@ def _write_tokens(folder: str, ids: list, flat: np.ndarray, sizes: np.ndarray, w
         bytes(d is None for d in ids),
         sizes.astype("<i8").tobytes(),
         np.ascontiguousarray(flat.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(),
-        b" ".join(words),
+        _joined(words)[0].tobytes(),
     ]
     packed = [_pack(x) for x in parts]
     with where.open_output_stream(f"{base}/{name}", compression=None) as f:
@@ -133,7 +196,7 @@ class _Tokens:
         self.ids = [None if g else d for d, g in zip(np.frombuffer(ids, "<i8").tolist(), gone, strict=True)]
         self.sizes = np.frombuffer(sizes, "<i8")
         self.flat = np.ascontiguousarray(np.frombuffer(flat, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
-        self.words = words.split(b" ")
+        self.words = _parted(words)
         self.starts = np.cumsum(self.sizes) - self.sizes
 
     def training(self) -> np.ndarray:
@@ -149,8 +212,8 @@ class _Tokens:
         return out
 
 
-def _by_bucket(words: list[bytes], buckets: int) -> np.ndarray:
-    return np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
+def _by_bucket(words: pa.LargeBinaryArray, buckets: int) -> np.ndarray:
+    return (word_hashes(words) % np.uint64(buckets)).astype(np.int64)
 
 
 def _pack(raw: bytes) -> bytes:
@@ -196,8 +259,10 @@ def _chunk_words(chunks: DataFrame, buckets: int) -> DataFrame:
                 counts = np.bincount(chunk.flat[chunk.training()], minlength=len(chunk.words))
                 bucket = _by_bucket(chunk.words, buckets)
                 order = np.argsort(bucket, kind="stable")
-                for at in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
-                    yield batch(schema, [uri], [int(bucket[at[0]])], [_pack(b" ".join([chunk.words[i] for i in at.tolist()]))], [_pack(counts[at].astype("<u4").tobytes())])
+                blob, ends = _joined(chunk.words.take(pa.array(order)))
+                cuts = [0, *(np.flatnonzero(np.diff(bucket[order])) + 1).tolist(), len(order)]
+                for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                    yield batch(schema, [uri], [int(bucket[order[i]])], [_pack(blob[ends[i] : ends[j]].tobytes())], [_pack(counts[order[i:j]].astype("<u4").tobytes())])
 
     return kernel(chunks, run, "chunk string, bucket int, words binary, counts binary")
 
@@ -208,24 +273,23 @@ def _count(words: DataFrame, buckets: int) -> DataFrame:
 
     def run(batches):
         for bucket, rows in _runs_by(batches, "bucket"):
-            number: dict[bytes, int] = {}
-            parts = []
-            for r in rows:
-                own = _unpack(r["words"]).split(b" ")
-                parts.append((r["chunk"], np.array([number.setdefault(w, len(number)) for w in own], np.int64), np.frombuffer(_unpack(r["counts"]), "<u4")))
-                r.clear()
-            total = np.zeros(len(number), np.int64)
-            for _, at, n in parts:
-                total[at] += n
-            every = list(number)
-            for chunk, at, _ in parts:
-                yield batch(schema, [chunk], [bucket], [_pack(total[at].astype("<u8").tobytes())], [None], [None], [None], [None])
+            names = [r["chunk"] for r in rows]
+            parts = [_parted(_unpack(r["words"])) for r in rows]
+            n = np.concatenate([np.frombuffer(_unpack(r["counts"]), "<u4") for r in rows])
+            rows.clear()
+            coded = pa.concat_arrays(parts).dictionary_encode()
+            every, at = coded.dictionary, coded.indices.to_numpy()
+            ends = np.cumsum([len(x) for x in parts])
+            del parts
+            total = np.bincount(at, n, len(every)).astype(np.int64)
+            for chunk, i, j in zip(names, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                yield batch(schema, [chunk], [bucket], [_pack(total[at[i:j]].astype("<u8").tobytes())], [None], [None], [None], [None])
             top = np.argsort(-total, kind="stable")[: 4 * HEAD]
             top = [int(k) for k in top if total[k]]
-            kinds = np.fromiter(map(tail_class, every), np.int64, len(every))
+            kinds = tail_classes(every)
             sums, types = np.bincount(kinds, total, TAIL), np.bincount(kinds[total > 0], minlength=TAIL)
             n = len(top)
-            yield batch(schema, [None] * (n + TAIL), [bucket] * (n + TAIL), [None] * (n + TAIL), [every[k] for k in top] + [None] * TAIL, [None] * n + list(range(TAIL)), [int(total[k]) for k in top] + [int(x) for x in sums], [None] * n + [int(x) for x in types])
+            yield batch(schema, [None] * (n + TAIL), [bucket] * (n + TAIL), [None] * (n + TAIL), [every[k].as_py() for k in top] + [None] * TAIL, [None] * n + list(range(TAIL)), [int(total[k]) for k in top] + [int(x) for x in sums], [None] * n + [int(x) for x in types])
 
     return kernel(words.repartition(buckets, "bucket").sortWithinPartitions("bucket"), run, "chunk string, bucket int, counts binary, word binary, kind int, n long, types long")
 
@@ -282,7 +346,7 @@ def _feature_bits(buckets: int) -> int:
 
 def word_features(chunk: _Tokens, buckets: int) -> np.ndarray:
     """``KINDS`` rows of hashed features: the words before each token, and the token."""
-    hashed = np.fromiter(map(xxhash.xxh64_intdigest, chunk.words), np.uint64, len(chunk.words))[chunk.flat]
+    hashed = word_hashes(chunk.words)[chunk.flat]
     start = np.uint64(0x5BD1E9955BD1E995)
     one, two = chunk.before(hashed, start, 1), chunk.before(hashed, start, 2)
     out = np.empty((KINDS, len(hashed)), np.uint64)
@@ -313,28 +377,56 @@ def _split(code: np.ndarray) -> list[np.ndarray]:
 
 
 def _observed(chunks: DataFrame, vocab: Vocabulary) -> DataFrame:
-    """One reading of the training tokens: ``block, sums`` (observed counts of rows and classes, by task) and ``codes, counts`` (a chunk's distinct class histories)."""
-    schema = pa.schema([("block", pa.int32()), ("sums", pa.binary()), ("codes", pa.binary()), ("counts", pa.binary())])
+    """One reading of the training tokens, by task: ``block, sums`` (observed counts of rows and classes) and ``block, histories`` (counts of class histories)."""
+    schema = pa.schema([("block", pa.int32()), ("sums", pa.binary()), ("histories", pa.binary())])
 
     def run(batches):
-        out = np.zeros(ROWS * CLASSES)
+        out, histories = np.zeros(ROWS * CLASSES), np.zeros(BLOCKS * _HISTORIES, np.int64)
         for b in batches:
             for uri in b.column("chunk").to_pylist():
                 chunk = _Tokens(uri)
                 train = chunk.training()
-                if not train.any():
-                    continue
-                classes = np.fromiter(map(vocab.class_of, chunk.words), np.int64, len(chunk.words))
+                classes = vocab.classes(chunk.words)
                 now, code = _histories(chunk, classes)
                 pairs, n = np.unique(code[train] * CLASSES + now[train], return_counts=True)
                 code, now = pairs // CLASSES, pairs % CLASSES
                 for rows in _split(code):
                     out += np.bincount(rows * CLASSES + now, n, ROWS * CLASSES)
-                head = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
-                yield batch(schema, [None], [None], [_pack(code[head].astype("<u4").tobytes())], [_pack(np.add.reduceat(n, head).astype("<u4").tobytes())])
+                histories += np.bincount(code, n, len(histories)).astype(np.int64)
         yield from _by_block(out.reshape(ROWS, CLASSES), schema)
+        for k, part in enumerate(histories.reshape(BLOCKS, -1)):
+            yield batch(schema, [k], [None], [_planes(part)])
+
+    return kernel(chunks, run, "block int, sums binary, histories binary")
+
+
+def _contexts(observed: DataFrame) -> DataFrame:
+    """``codes, counts``: class histories and their counts over all tasks; a row for each block, so no more than there are histories."""
+    schema = pa.schema([("codes", pa.binary()), ("counts", pa.binary())])
+
+    def run(batches):
+        for block, rows in _summed(batches, "histories", _from_planes):
+            code = np.flatnonzero(rows)
+            yield batch(schema, [_pack((code + block * _HISTORIES).astype("<u4").tobytes())], [_planes(rows[code])])
 
-    return kernel(chunks, run, "block int, sums binary, codes binary, counts binary")
+    seen = observed.where("histories is not null").select("block", "histories")
+    return kernel(seen.repartition(BLOCKS, "block").sortWithinPartitions("block"), run, "codes binary, counts binary")
+
+
+def _summed(batches, column: str, read) -> Iterator[tuple[int, np.ndarray]]:
+    """Each block with the sum of its arrays; batches are sorted by block."""
+    block, out = None, None
+    for b in batches:
+        for k, raw in zip(b.column("block").to_pylist(), b.column(column), strict=True):
+            values = read(raw.as_py())
+            if k == block:
+                out += values
+                continue
+            if block is not None:
+                yield block, out
+            block, out = k, values
+    if block is not None:
+        yield block, out
 
 
 def _features(chunks: DataFrame, buckets: int) -> DataFrame:
@@ -395,7 +487,7 @@ def _expected(contexts: DataFrame, weights: np.ndarray) -> DataFrame:
         out = np.zeros((ROWS, CLASSES))
         for b in batches:
             for codes, counts in zip(b.column("codes").to_pylist(), b.column("counts").to_pylist(), strict=True):
-                code, n = np.frombuffer(_unpack(codes), "<u4").astype(np.int64), np.frombuffer(_unpack(counts), "<u4").astype(np.float32)
+                code, n = np.frombuffer(_unpack(codes), "<u4").astype(np.int64), _from_planes(counts).astype(np.float32)
                 for i in range(0, len(code), 1 << 14):
                     rows = _split(code[i : i + (1 << 14)])
                     p = np.exp(log_probabilities(weights, rows)) * n[i : i + (1 << 14), None]
@@ -414,10 +506,7 @@ def _added(sent: DataFrame) -> np.ndarray:
     schema = pa.schema([("block", pa.int32()), ("sums", pa.binary())])
 
     def run(batches):
-        for block, rows in _runs_by(batches, "block"):
-            out = np.zeros(ROWS // BLOCKS * CLASSES)
-            for r in rows:
-                out += np.frombuffer(_unpack(r["sums"]), np.float32)
+        for block, out in _summed(batches, "sums", lambda raw: np.frombuffer(_unpack(raw), np.float32).astype(np.float64)):
             yield batch(schema, [block], [out.tobytes()])
 
     out = np.zeros((BLOCKS, ROWS // BLOCKS * CLASSES))
@@ -429,10 +518,10 @@ def _added(sent: DataFrame) -> np.ndarray:
 def train(observed: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> np.ndarray:
     """Weights of the fixed softmax over classes (``ROWS`` by ``CLASSES``), the same size for any corpus.
 
-    The rounds go over all distinct histories of each chunk with their counts.
+    The rounds go over all distinct histories with their counts in the whole corpus.
     """
-    seen = _added(observed.where("block is not null").select("block", "sums"))
-    contexts = observed.where("codes is not null").select("codes", "counts")
+    seen = _added(observed.where("sums is not null").select("block", "sums"))
+    contexts = stored(_contexts(observed))
     marginal = vocab.class_tokens + 1
     marginal = marginal / marginal.sum()
     weights = np.zeros((ROWS, CLASSES))
@@ -450,15 +539,21 @@ def _rows(batches) -> Iterator[dict]:
             yield b.slice(k, 1).to_pylist()[0]
 
 
+def _gather(batches) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """Each chunk with the counts of its words and of its features: the buckets' answers, in the order of buckets."""
+    for uri, rows in _runs_by(batches, "chunk"):
+        rows.sort(key=lambda r: r["bucket"])
+        counts = np.concatenate([np.frombuffer(_unpack(r["counts"]), "<u8") for r in rows if r["counts"] is not None])
+        joint = np.concatenate([_from_planes(r["joint"]) for r in rows if r["joint"] is not None])
+        yield uri, counts, joint
+
+
 def _gathered(answers: DataFrame) -> DataFrame:
-    """``chunk, counts, joint``: the buckets' answers of each chunk in one row, in the order of buckets."""
+    """``chunk, counts, joint``: the buckets' answers of each chunk in one row."""
     schema = pa.schema([("chunk", pa.string()), ("counts", pa.binary()), ("joint", pa.binary())])
 
     def run(batches):
-        for uri, rows in _runs_by(batches, "chunk"):
-            rows.sort(key=lambda r: r["bucket"])
-            counts = np.concatenate([np.frombuffer(_unpack(r["counts"]), "<u8") for r in rows if r["counts"] is not None])
-            joint = np.concatenate([_from_planes(r["joint"]) for r in rows if r["joint"] is not None])
+        for uri, counts, joint in _gather(batches):
             yield batch(schema, [uri], [_planes(counts)], [_planes(joint)])
 
     return kernel(answers, run, "chunk string, counts binary, joint binary")
@@ -480,12 +575,22 @@ class Evidence:
     counts: np.ndarray
 
 
+def _by_token(chunk: _Tokens, counts: np.ndarray, joint: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """A chunk's counts, which come in the order of buckets, in the order of its words; those of its features by token (rows: kinds)."""
+    words = np.empty(len(chunk.words), np.int64)
+    words[np.argsort(_by_bucket(chunk.words, buckets), kind="stable")] = counts
+    _, at = np.unique(word_features(chunk, buckets), return_inverse=True)
+    return words, joint[at.reshape(KINDS, -1)]
+
+
 def evidence(chunk: _Tokens, answer: dict, vocab: Vocabulary, weights: np.ndarray, buckets: int) -> Evidence:
     """``answer`` is the chunk's row of ``_gathered``."""
-    classes = np.fromiter(map(vocab.class_of, chunk.words), np.int64, len(chunk.words))
-    now, code = _histories(chunk, classes)
-    counts = np.empty(len(chunk.words), np.int64)
-    counts[np.argsort(_by_bucket(chunk.words, buckets), kind="stable")] = _from_planes(answer["counts"])
+    return _evidence(chunk, *_by_token(chunk, _from_planes(answer["counts"]), _from_planes(answer["joint"]), buckets), vocab, weights)
+
+
+def _evidence(chunk: _Tokens, counts: np.ndarray, joint: np.ndarray, vocab: Vocabulary, weights: np.ndarray) -> Evidence:
+    """``counts`` and ``joint`` as ``_by_token`` tells them."""
+    now, code = _histories(chunk, vocab.classes(chunk.words))
     pairs, back = np.unique(code * CLASSES + now, return_inverse=True)
     code, kind = pairs // CLASSES, pairs % CLASSES
     new = np.concatenate([[True], code[1:] != code[:-1]])
@@ -494,8 +599,6 @@ def evidence(chunk: _Tokens, answer: dict, vocab: Vocabulary, weights: np.ndarra
     for i in range(0, len(history), 1 << 14):
         part = slice(*np.searchsorted(at, [i, i + (1 << 14)]).tolist())
         fixed[part] = np.exp(log_probabilities(weights, _split(history[i : i + (1 << 14)]))[at[part] - i, kind[part]])
-    _, at = np.unique(word_features(chunk, buckets), return_inverse=True)
-    joint = _from_planes(answer["joint"])[at.reshape(KINDS, -1)]
     word = counts[chunk.flat]
     # A document's start is counted as often as its end.  Before its second token there is no pair of words.
     before = np.stack([chunk.before(word, counts[chunk.flat[chunk.sizes[0] - 1]], 1), chunk.before(joint[0], 0, 1)])
@@ -532,26 +635,29 @@ def mixed(known: Evidence, vocab: Vocabulary, theta: np.ndarray, own: np.ndarray
 _LEVELS = 64
 
 
-def _gate_cases(answers: DataFrame, vocab: Vocabulary, weights: np.ndarray, buckets: int) -> DataFrame:
-    """``codes, counts``: distinct cases (bins, levels) of each chunk's training tokens, their own occurrences taken out."""
-    schema = pa.schema([("codes", pa.binary()), ("counts", pa.binary())])
+def _gate_cases(known: Evidence, train: np.ndarray, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct cases (bins, levels) of a chunk's training tokens, their own occurrences taken out, and how many each stands for."""
+    p, bins = experts(known, vocab, train.astype(np.int64))
+    code = np.zeros(int(train.sum()), np.int64)
+    for k in range(KINDS):
+        q = p[k + 1, train]
+        level = np.clip(np.rint(2 * np.log(np.maximum(q, 1e-300) / p[0, train])) + 17, 1, _LEVELS - 1)
+        code = (code * (BINS + 1) + bins[k, train]) * _LEVELS + np.where(q > 0, level, 0).astype(np.int64)
+    return np.unique(code, return_counts=True)
+
+
+def _judged(answers: DataFrame, vocab: Vocabulary, weights: np.ndarray, buckets: int) -> DataFrame:
+    """``chunk, words, joint, codes, counts``: the counts of a chunk's words and of its tokens' features, and its cases for the gate."""
+    schema = pa.schema([("chunk", pa.string()), *((c, pa.binary()) for c in ("words", "joint", "codes", "counts"))])
 
     def run(batches):
-        for answer in _rows(batches):
-            chunk = _Tokens(answer["chunk"])
-            train = chunk.training()
-            if not train.any():
-                continue
-            p, bins = experts(evidence(chunk, answer, vocab, weights, buckets), vocab, train.astype(np.int64))
-            code = np.zeros(int(train.sum()), np.int64)
-            for k in range(KINDS):
-                q = p[k + 1, train]
-                level = np.clip(np.rint(2 * np.log(np.maximum(q, 1e-300) / p[0, train])) + 17, 1, _LEVELS - 1)
-                code = (code * (BINS + 1) + bins[k, train]) * _LEVELS + np.where(q > 0, level, 0).astype(np.int64)
-            codes, n = np.unique(code, return_counts=True)
-            yield batch(schema, [_planes(codes)], [_planes(n)])
+        for uri, counts, joint in _gather(batches):
+            chunk = _Tokens(uri)
+            words, joint = _by_token(chunk, counts, joint, buckets)
+            cases = _gate_cases(_evidence(chunk, words, joint, vocab, weights), chunk.training(), vocab)
+            yield batch(schema, [uri], *([_planes(x)] for x in (words, joint.ravel(), *cases)))
 
-    return kernel(answers, run, "codes binary, counts binary")
+    return kernel(answers, run, "chunk string, words binary, joint binary, codes binary, counts binary")
 
 
 def _gate_sums(cases: DataFrame, theta: np.ndarray) -> DataFrame:
@@ -617,8 +723,9 @@ def scores(docs: DataFrame) -> DataFrame:
     weights = train(stored(_observed(chunks.repartition(tasks), vocab)), vocab).astype(np.float32)
     told = _count_features(_features(chunks.repartition(tasks), buckets), buckets)
     answers = counted.where("chunk is not null").select("chunk", "bucket", "counts").unionByName(told, allowMissingColumns=True)
-    answers = stored(_gathered(answers.repartition(n, "chunk").sortWithinPartitions("chunk"))).repartition(tasks)
-    theta, _ = train_gate(stored(_gate_cases(answers, vocab, weights, buckets)))
+    answers = stored(_judged(answers.repartition(n, "chunk").sortWithinPartitions("chunk"), vocab, weights, buckets))
+    theta, _ = train_gate(answers.select("codes", "counts"))
+    answers = answers.select("chunk", "words", "joint").repartition(tasks)
     base_log = math.log10(vocab.tokens + vocab.types + 1)
     names = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, left_out_score double"
     kinds = {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}
@@ -627,8 +734,8 @@ def scores(docs: DataFrame) -> DataFrame:
     def run(batches):
         for answer in _rows(batches):
             chunk = _Tokens(answer["chunk"])
-            known = evidence(chunk, answer, vocab, weights, buckets)
-            counts = known.counts
+            counts = _from_planes(answer["words"])
+            known = _evidence(chunk, counts, _from_planes(answer["joint"]).reshape(KINDS, -1), vocab, weights)
             model = mixed(known, vocab, theta)
             apart = mixed(known, vocab, theta, chunk.training().astype(np.int64))
             add = [np.add.reduceat(x, chunk.starts) for x in (np.log10(counts + 1)[chunk.flat], (counts > 0).astype(np.int64)[chunk.flat], model, apart)]
