@@ -350,6 +350,51 @@ def test_language_model_evidence_against_counts(spark, tmp_path):
     assert np.allclose(share.sum(0), 1) and (share[1:][bins == 0] == 0).all()
 
 
+def test_language_model_scores_against_plain_counting(spark, monkeypatch):
+    """Scores and left-out scores, word by word from plain counts, the trained weights and the gate."""
+    kept = {}
+    for name in ("_vocabulary", "train", "train_gate"):
+        make = getattr(lmscore, name)
+        monkeypatch.setattr(lmscore, name, lambda *a, make=make, name=name: kept.setdefault(name, make(*a)))
+    rng = random.Random(8)
+    data = [(i, " ".join(rng.choice(["alpha", "Beta", "gamma", "d", "\u00e9t\u00e9", f"x{rng.randint(0, 40)}"]) for _ in range(rng.randint(0, 25)))) for i in range(90)]
+    got = rows(lmscore.scores(spark.createDataFrame(data, "doc_id long, text string")))
+    vocab, weights, theta = kept["_vocabulary"], kept["train"].astype(np.float32), kept["train_gate"][0]
+    words = {i: lmscore.tokens(t.encode()) for i, t in data}
+    one, two, three = collections.Counter(), collections.Counter(), collections.Counter()
+    for i, ws in words.items():
+        if not lmscore.held_out(i):
+            one.update(ws)
+            two.update(zip([None, *ws], ws, strict=False))
+            three.update(zip([None, None, *ws], [None, *ws], ws, strict=False))
+    documents = one[lmscore.END]
+
+    def kind(w):
+        return vocab.head.get(w, lmscore.HEAD + lmscore.tail_class(w))
+
+    def cost(ws, own):
+        total = 0.0
+        for k, w in enumerate(ws):
+            a, b = ws[k - 1] if k else None, ws[k - 2] if k > 1 else None
+            h = [np.array([kind(ws[k - back]) if k >= back else lmscore.CLASSES]) for back in (1, 2, 3)]
+            z = sum(weights[r[0]].astype(float) for r in lmscore.feature_rows(*h))
+            c = kind(w)
+            p = math.exp(z[c] - z.max()) / np.exp(z - z.max()).sum() * (one[w] - own + 1) / (vocab.class_tokens[c] + vocab.class_types[c] - own + 1)
+            context = [(documents if a is None else one[a]) - own, two[b, a] - own if k else 0]
+            joint = [two[a, w] - own, three[b, a, w] - own]
+            share, mixed = 1.0, p
+            for e in range(2):
+                if context[e] > 0:
+                    g = math.exp(theta[e, min(int(context[e]).bit_length(), lmscore.BINS)])
+                    share, mixed = share + g, mixed + g * min(max(joint[e], 0) / context[e], 1)
+            total += math.log10(mixed / share)
+        return total
+
+    for i, ws in words.items():
+        assert got[i].score == pytest.approx(cost(ws, 0), rel=1e-4)
+        assert got[i].left_out_score == pytest.approx(cost(ws, int(not lmscore.held_out(i))), rel=1e-4)
+
+
 def test_language_model_gate_rounds_raise_the_likelihood(spark):
     codes, counts = [], []
     rng = np.random.default_rng(3)
